@@ -429,8 +429,8 @@ _ask(
     f"SELECT {_nat} AS x, n_name AS name FROM nation UNION ALL SELECT {_reg}, r_name FROM region",
 )
 _ask(
-    "sparql_minus", ("customer", "orders"), "SELECT ?c WHERE { ?c a skg-o:Customer MINUS { ?o skg-o:placedBy ?c } }",
-    f"SELECT {_cust} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "sparql_minus", ("customer", "orders"), 'SELECT ?c WHERE { ?c a skg-o:Customer MINUS { ?o skg-o:placedBy ?c ; skg-o:status "P" } }',
+    f"SELECT {_cust} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
 )
 _ask(
     "sparql_exists", ("customer", "orders"), 'SELECT ?c WHERE { ?c a skg-o:Customer FILTER EXISTS { ?o skg-o:placedBy ?c ; skg-o:status "F" } FILTER NOT EXISTS { ?o skg-o:placedBy ?c ; skg-o:status "P" } }',

@@ -1,33 +1,49 @@
-"""Closures over pair tables as semi-naive driver loops; lineage is cut by reliable checkpoints."""
+"""Closures over pair tables as semi-naive driver loops; each round is a table in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark) -> str:
+    """``spark.checkpoint.dir``, or a folder of our own where that is unset (local sessions)."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path:
+        path = tempfile.mkdtemp(prefix="graphloom-")
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's shared folder (``spark.checkpoint.dir``; a temporary one if unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint(eager=True)
+    """Run ``df`` once and read it back from the shared folder, so that lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a cut table that no plan will read again."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def transitive_closure(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     """All (a, b) joined by one or more steps of ``pairs`` (columns a, b). Cycles end as nothing new
     appears; each round extends only the pairs that the last one found."""
     edges = cut(pairs.select("a", "b").where("a is not null and b is not null").distinct())
-    known = delta = edges
-    for _ in range(max_rounds):
-        step = delta.alias("d").join(edges.alias("e"), F.col("d.b") == F.col("e.a")).select("d.a", "e.b").distinct()
-        delta = cut(step.join(known, ["a", "b"], "left_anti"))
-        if delta.isEmpty():
-            return known
-        known = cut(known.unionByName(delta))
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+
+    def step(known: DataFrame, new: DataFrame) -> DataFrame:
+        return new.toDF("a", "mid").join(edges.toDF("mid", "b"), "mid").select("a", "b")
+
+    return saturate(edges, step, max_rounds)
 
 
 def saturate(facts: DataFrame, step, max_rounds: int = 50) -> DataFrame:
@@ -36,12 +52,12 @@ def saturate(facts: DataFrame, step, max_rounds: int = 50) -> DataFrame:
     ``step`` gets all known rows and those that the last round found, and returns candidate rows."""
     known = delta = cut(facts.distinct())
     for _ in range(max_rounds):
-        delta = cut(step(known, delta).distinct().join(known, known.columns, "left_anti"))
-        if delta.isEmpty():
+        new = cut(step(known, delta).distinct().join(known, known.columns, "left_anti"))
+        if new.isEmpty():
+            forget(new)
             return known
-        known = cut(known.unionByName(delta))
+        whole = cut(known.unionByName(new))
+        for old in {id(x): x for x in (known, delta)}.values():
+            forget(old)
+        known, delta = whole, new
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-
-
-def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return spark.createDataFrame([], df.schema)

@@ -328,8 +328,9 @@ class Lowering:
             values = F.collect_set(t["value"]) if distinct else F.collect_list(t["value"])
             return text_term(F.array_join(F.array_sort(values), separator))
         if name in ("MIN", "MAX"):
-            key = F.struct(try_number(t).alias("n"), t["value"].alias("v"), t.alias("t"))
-            return (F.min if name == "MIN" else F.max)(F.when(t.isNotNull(), key))["t"]
+            key = F.struct(try_number(t).alias("n"), *[t[c].alias(c) for c in ("value", "kind", "datatype", "lang")])
+            best = (F.min if name == "MIN" else F.max)(F.when(t["kind"].isNotNull(), key))
+            return F.when(best.isNotNull(), term(best["kind"], best["value"], best["datatype"], best["lang"]))
         n = try_number(t)
         if distinct:
             return number_term((F.sum_distinct if name == "SUM" else lambda c: F.sum_distinct(c) / F.count_distinct(c))(n), "double")

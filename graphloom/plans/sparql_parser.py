@@ -174,7 +174,7 @@ class Parser:
                         name = self.next()[1][1:]
                     self.need(")")
                     query.group_by.append((e, name))
-                elif self.peek()[0] == "name" and self.peek(1)[1] == "(":
+                elif self.peek()[0] == "name" and self.peek(1)[1] == "(" and self.peek()[1].upper() != "HAVING":
                     query.group_by.append((self.primary(), None))
                 else:
                     break
@@ -210,7 +210,7 @@ class Parser:
 
     def group(self) -> Group:
         self.need("{")
-        if self.peek() [0] == "name" and self.peek()[1].upper() == "SELECT":
+        if self.peek()[0] == "name" and self.peek()[1].upper() == "SELECT":
             inner = self.select()
             self.need("}")
             return Group([("select", inner)])
