@@ -23,7 +23,7 @@ def _unescaped(c: Column) -> Column:
         for letter, char in simple.items():
             piece = F.replace(piece, F.lit("\\" + letter), F.lit(char))
         parts = F.split(piece, r"(?=\\u[0-9A-Fa-f]{4})|(?=\\U[0-9A-Fa-f]{8})", -1)
-        point = lambda hexa: F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32BE")
+        point = lambda hexa: F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")
         return F.array_join(
             F.transform(
                 parts,
