@@ -283,9 +283,12 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = table.where("kind = 0").select("doc_id", "node", "size")
     postings = table.where("kind = 1").select("token", "node", "size", "pos", "place")
     sets = table.where("kind = 2").select("node", "size", "tokens")
-
     near = lambda a, b: (F.lit(bottom) * F.least(a, b)) >= (F.lit(top) * F.greatest(a, b))
-    pivots = postings.groupBy("token").agg(F.min(F.struct("size", "node")).alias("p"), F.count(F.lit(1)).alias("many")).where("many > 1")
+
+    # What a posting list has most in common is in the set with the fewest n-grams of its own, such as
+    # the text that others were copied from.
+    own = F.struct((F.col("pos") - F.col("place")).alias("own"), "node", "size")
+    pivots = postings.groupBy("token").agg(F.min(own).alias("p"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", "p")
     first = (
         postings.where(F.col("place") < PIVOTS)
         .join(pivots, "token")
@@ -296,20 +299,24 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     links = materialize(_links(first, sets, threshold))
     comp = components(links)
 
+    # Every other pair, at the first n-gram that both prefixes hold.
+    prefix = postings.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("prefix"))
     placed = postings.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    open_ = materialize(placed.join(mixed, "token"))
-    a = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "pos", "comp")])
-    b = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "pos", "comp")])
+    open_ = materialize(placed.join(mixed, "token").join(prefix, "node").select("token", "node", "size", "pos", "comp", F.slice("prefix", 1, F.col("place")).alias("before")))
+    a = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "pos", "comp", "before")])
+    b = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "pos", "comp", "before")])
     need = F.ceil(F.lit(top) * (F.col("size_a") + F.col("size_b")) / F.lit(top + bottom))
     room = F.lit(1) + F.least(F.col("size_a") - F.col("pos_a") - 1, F.col("size_b") - F.col("pos_b") - 1)
-    rest = (
-        a.join(b, "token")
-        .where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & near(F.col("size_a"), F.col("size_b")))
-        .where(room >= need)
-        .select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-        .distinct()
-    )
+    rest = a.join(
+        b,
+        (a["token"] == b["token"])
+        & (F.col("node_a") < F.col("node_b"))
+        & (F.col("comp_a") != F.col("comp_b"))
+        & near(F.col("size_a"), F.col("size_b"))
+        & (room >= need)
+        & ~F.arrays_overlap("before_a", "before_b"),
+    ).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
     more = materialize(_links(rest, sets, threshold))
     whole = components(links.unionByName(more)) if not more.isEmpty() else comp
 
