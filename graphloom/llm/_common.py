@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import tempfile
 
 import pyarrow as pa
@@ -61,6 +64,7 @@ def filter_rows(docs: DataFrame, columns: dict[str, str], keep) -> DataFrame:
     """``docs``, all columns, less the rows that ``keep`` (a batch of ``columns`` renamed to its keys,
     to a boolean array) gives false for. Map-only."""
 
+    @worker("filter")
     def run(batches):
         for batch in batches:
             chosen = pa.RecordBatch.from_arrays([batch.column(i) for i in places], names=list(columns))
@@ -70,18 +74,55 @@ def filter_rows(docs: DataFrame, columns: dict[str, str], keep) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-#: Per-process caches of the Python workers. One owner at a time: a worker that goes over to another
-#: operator drops what the last one kept, so its memory stays within one cache's bound.
+#: What this Python worker keeps between tasks, by operator.
 _OWNED: dict[str, object] = {}
 
 
 def worker_cache(owner: str, build):
+    """What ``build`` makes, kept in the Python worker for the next tasks of the same operator."""
     if owner not in _OWNED:
-        _OWNED.clear()
         _OWNED[owner] = build()
     return _OWNED[owner]
 
 
+def worker(owner: str):
+    """For functions that run in Python workers: a worker that comes from another operator first drops
+    what that one kept, and freed memory goes back to the system when the task or group ends."""
+
+    def wrap(function):
+        def held(*args):
+            _take_over(owner)
+            out = function(*args)
+            _release()
+            return out
+
+        def batches(it):
+            _take_over(owner)
+            yield from function(it)
+            _release()
+
+        # Spark looks at how many arguments a function of groups takes.
+        if inspect.isgeneratorfunction(function):
+            return batches
+        if function.__code__.co_argcount == 1:
+            return lambda table: held(table)
+        return lambda key, table: held(key, table)
+
+    return wrap
+
+
+def _take_over(owner: str) -> None:
+    if any(other != owner for other in _OWNED):
+        _OWNED.clear()
+        _release()
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Kept(dict):
     """A bounded cache that keeps what comes first: in text, frequent pieces come early. Once it has
     turned away many times its size, the text has changed, and it starts anew."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, rows_of
+from ._common import materialize, rows_of, worker
 
 #: Graphs of at most so many edges (16 bytes each) are finished in one executor task.
 LOCAL_EDGES = 1_000_000
@@ -31,6 +31,7 @@ def _solve(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = root[root]
 
 
+@worker("components")
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), _PACK):
@@ -38,6 +39,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *[pa.array([part.column(c).to_numpy().tobytes()], pa.binary()) for c in ("u", "v")]], names=["all", "u", "v"])
 
 
+@worker("components")
 def _solve_group(table: pa.Table) -> pa.Table:
     u, v = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column(c)]) for c in ("u", "v"))
     nodes, roots = _solve(u, v)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, parallelism, pick
+from ._common import materialize, parallelism, pick, worker
 from ._components import _solve, components
 
 SAMPLE_ROWS = 20_000
@@ -64,6 +64,7 @@ def _normal(raw: list[bytes], width: int) -> np.ndarray:
 def _tables(shared, bits: int, width: int):
     tables = bits // TABLE_BITS
 
+    @worker("ann")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantizer: Quantizer = shared.value
         for batch in batches:
@@ -115,6 +116,7 @@ def _compare(least: float, width: int):
         some = np.flatnonzero(count)
         return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(count[some].astype(np.int64)), pa.array(node[root[some]])], names=["node", "links", "other"])
 
+    @worker("ann")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
@@ -177,8 +179,10 @@ def near_duplicates(
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     copies = nodes.select("node", "copies")
     per_node = copies.join(links, "node", "left").join(comp, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "node").alias("comp"))
-    placed = good.select("vec_id", "node").join(per_node, "node")
-    least_id = placed.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
+    # The smallest ids are a table of their own before they are joined, so that the optimizer may split
+    # a component that holds a large share of all rows.
+    placed = materialize(good.select("vec_id", "node").join(materialize(per_node), "node"))
+    least_id = materialize(placed.groupBy("comp").agg(F.min("vec_id").alias("component_id")))
     linked = placed.join(least_id, "comp").select("vec_id", F.col("n_links").cast("long"), "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import Kept, pick, worker_cache
+from ._common import Kept, pick, worker, worker_cache
 
 CACHE_PIECES = 400_000
 CACHE_PAIRS = 300_000
@@ -181,6 +181,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
     give repeated results. Map-only; memory is bounded by the caches and one batch."""
     key = f"bpe:{ranks}"
 
+    @worker(key)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(key, lambda: PrefixEncoder(ranks, pattern))
         for batch in batches:
@@ -196,6 +197,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_i
     """Per row of ``encode``'s result: ``doc_id, bytes``. Null ids decode to no bytes."""
     key = f"bpe:{ranks}"
 
+    @worker(key)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(key, lambda: PrefixEncoder(ranks, pattern))
         for batch in batches:
@@ -212,6 +214,7 @@ def with_ids(docs: DataFrame, ranks: str, pattern: str, *, text_col: str = "text
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids")]
     place = kept.index(text_col)
 
+    @worker(key)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(key, lambda: PrefixEncoder(ranks, pattern))
         for batch in batches:
@@ -231,6 +234,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_
     """Encode and decode in one pass, keeping digests: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
     key = f"bpe:{ranks}"
 
+    @worker(key)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(key, lambda: PrefixEncoder(ranks, pattern))
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import filter_rows, pick, without_ids
+from ._common import filter_rows, pick, without_ids, worker
 from ._text import U64, Words, byte_class, grams, text_slices
 
 #: Words are runs of a-z (after lower-casing A-Z), 0-9 and everything beyond ASCII.
@@ -131,6 +131,7 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scanner(shared):
+    @worker("decontaminate")
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: SpanIndex = shared.value
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, parallelism, pick, without_ids
+from ._common import materialize, parallelism, pick, without_ids, worker
 from ._components import components
 from ._text import U64, Words, byte_class, grams, mix, text_slices
 
@@ -99,6 +99,7 @@ def _sets(n: int, buckets: int, parts: int):
                 many = np.diff(np.append(first, len(who)))
                 yield _row(b, None, node[who[first]].tobytes(), _squeeze(many.astype("<u4")), _narrow(token[mine]))
 
+    @worker("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tokens = [], 0
         for batch in batches:
@@ -124,6 +125,7 @@ def _sets(n: int, buckets: int, parts: int):
 def _shared(parts: int):
     """One bucket: keep n-grams of two sets or more, with their counts, and send them to their sets' parts."""
 
+    @worker("jaccard")
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return table.select(_NAMES)
@@ -175,6 +177,7 @@ def prefix_length(size: np.ndarray, top: int, bottom: int) -> np.ndarray:
 def _prefixes(top: int, bottom: int):
     """One part: rows of kind 0 (a text and its set), 1 (a posting) and 2 (a set with postings)."""
 
+    @worker("jaccard")
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids, nodes, sizes, owners, tokens, counts = [], [], [], [], [], []
         for row in table.select(_NAMES[1:]).to_pylist():
@@ -236,6 +239,7 @@ def _verifier(top: int, bottom: int):
     are in no intersection."""
     ranges = (np.arange(1, 16, dtype=U64) << U64(8 * TOKEN_BYTES - 4)).astype("<u8")
 
+    @worker("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -320,9 +324,11 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     more = materialize(_links(rest, sets, threshold))
     whole = components(links.unionByName(more)) if not more.isEmpty() else comp
 
-    classed = rows.join(whole, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = classed.where("size > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = classed.where("size > 0").join(least, "comp").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    # The smallest ids are a table of their own before they are joined, so that the optimizer may split
+    # a component that holds a large share of all rows.
+    classed = materialize(rows.where("size > 0").join(whole, "node", "left").select("doc_id", "size", F.coalesce("comp", "node").alias("comp")))
+    least = materialize(classed.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
+    linked = classed.join(least, "comp").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     alone = rows.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 

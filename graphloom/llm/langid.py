@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import filter_rows, pick
+from ._common import filter_rows, pick, worker
 from ._text import LOWER, text_slices
 
 DIMENSIONS = 4096
@@ -148,6 +148,7 @@ def identify(docs: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_
     name. ``rejected``: the score is under the model's bound. Whole texts; map-only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @worker("langid")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, best, score, rejected in judge(batch.column("text"), shared.value):

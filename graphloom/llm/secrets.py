@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, pick
+from ._common import materialize, pick, worker
 
 #: The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -62,6 +62,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
     return out
 
 
+@worker("secrets")
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     struct = pa.struct([("kind", pa.string()), ("from", pa.int32()), ("to", pa.int32()), ("hash", pa.string())])
     for batch in batches:

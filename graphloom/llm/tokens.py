@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Kept, pick, worker_cache
+from ._common import Kept, pick, worker, worker_cache
 
 #: The split that byte-level vocabularies of this family use before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -147,6 +147,7 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     rows give repeated results. Map-only: no shuffle, memory bounded by the cache and one batch."""
     key = f"tokens:{vocabulary}"
 
+    @worker(key)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_cache(key, lambda: MergeCounter(vocabulary))
         for batch in batches:
