@@ -66,8 +66,8 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 class Words:
     """The words of a slice of texts: byte ranges, owning text, 64-bit hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray):
-        self.data, self.texts = LOWER[data], len(offsets) - 1
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower: bool = True):
+        self.data, self.texts = LOWER[data] if lower else data, len(offsets) - 1
         inside = word_bytes[self.data]
         before, after = np.zeros_like(inside), np.zeros_like(inside)
         before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -89,6 +89,14 @@ class Words:
         h = (sums[self.end] - sums[self.start]) * inverse[self.start]
         return mix(h + (self.end - self.start).astype(U64) * _STEP[63])
 
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last eight bytes of each word, as numbers (shorter words: all of it, twice)."""
+        padded = np.concatenate((self.data, np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(self.data) + 1,), "<u8", padded, 0, (1,))
+        size = np.minimum(self.end - self.start, 8)
+        mask = U64(2**64 - 1) >> (U64(64) - U64(8) * size.astype(U64))
+        return eight[self.start] & mask, eight[self.end - size] & mask
+
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 

@@ -10,23 +10,27 @@ On disk a file set is two Parquet folders: ``blocks`` (a row per block) and ``co
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Kept, materialize, parallelism, pick, shared_dir, worker_cache
+from ._common import materialize, parallelism, pick, shared_dir, worker, worker_cache
+from ._text import Words, byte_class, text_slices
 
 MAX_LENGTH = 18
 BLOCK_TOKENS = 1 << 18
 STRIDE = 128
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_500_000
+#: Pieces are runs of anything but ASCII white space.
+PIECE_BYTES = byte_class(lambda b: b != 32 and not 9 <= b <= 13)
 
 BLOCKS = "part int, block int, start long, doc_ids array<long>, doc_tokens array<int>, checkpoints array<long>, payload binary"
 
@@ -112,47 +116,174 @@ class Code:
 # --- the tokenizer --------------------------------------------------------------------------------
 
 
+class _Known:
+    """Ids of pieces that were met before: sorted piece hashes, a run of the id store each. A piece is
+    recognised by hash, length and its first and last eight bytes, which is all of most pieces."""
+
+    FIELDS = ("key", "size", "head", "tail", "start", "count")
+
+    def __init__(self):
+        kinds = (np.uint64, np.int32, np.uint64, np.uint64, np.int64, np.int32)
+        self.columns = {f: np.zeros(0, k) for f, k in zip(self.FIELDS, kinds, strict=True)}
+
+    def __len__(self) -> int:
+        return len(self.columns["key"])
+
+    def find(self, asked: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, found) of pieces that are sorted by hash."""
+        c = self.columns
+        if not len(self):
+            return np.zeros(len(asked["key"]), np.int64), np.zeros(len(asked["key"]), bool)
+        at = np.minimum(np.searchsorted(c["key"], asked["key"]), len(self) - 1)
+        found = c["key"][at] == asked["key"]
+        for f in ("size", "head", "tail"):
+            found &= c[f][at] == asked[f]
+        return at, found
+
+    def add(self, rows: dict[str, np.ndarray]) -> None:
+        """Rows sorted by key join; of equal keys the one that is here stays."""
+        at = np.searchsorted(self.columns["key"], rows["key"])
+        if len(self):
+            new = self.columns["key"][np.minimum(at, len(self) - 1)] != rows["key"]
+            at, rows = at[new], {f: v[new] for f, v in rows.items()}
+        self.columns = {f: np.insert(c, at, rows[f]) for f, c in self.columns.items()}
+
+
 class CachedTokenizer:
     """A word-level tokenizer of the ``tokenizers`` library that drops white space: no token reaches
-    over a space, so the parts between spaces are encoded once and looked up from then on."""
+    over it, so the pieces between are encoded once and looked up from then on, whole slices of texts
+    at a time. The most pieces that are kept is ``cache_pieces``; those that come first are."""
+
+    YOUNG = 1 << 16
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known = Kept(cache_pieces)
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        # One-word pieces go through in one call; word numbers tell where each one's ids are. Beyond
-        # Latin-1, lower-casing may cut a word, so those pieces are encoded singly.
-        simple = [p for p in pieces if p.isalpha() and max(p) < "Ā"]
-        kind, width = f"<u{self.width}", self.width
-        learned = {}
-        if simple:
-            found = self.tokenizer.encode(" ".join(simple), add_special_tokens=False)
-            raw, word = np.array(found.ids, kind).tobytes(), np.array(found.word_ids, np.int64)
-            cuts = (np.searchsorted(word, np.arange(len(simple) + 1)) * width).tolist()
-            learned = {p: raw[a:b] for p, a, b in zip(simple, cuts, cuts[1:], strict=False)}
-        others = [p for p in pieces if p not in learned]
-        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            learned[p] = np.array(e.ids, kind).tobytes()
-        return learned
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned integers of ``width`` bytes."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = set(chain.from_iterable(split)).difference(known)
-        learned = self._learn(list(new)) if new else {}
-        known.update(learned)  # over the bound for this batch only
-        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
-        for p, ids in learned.items():
-            del known[p]
-            if len(p) <= 64:
-                known.keep(p, ids)
-        return out
+        spec = json.loads(self.tokenizer.to_str())
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.kind = f"<u{self.width}"
+        # The last token of a word carries the word end.
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.lowers = '"Lowercase"' in json.dumps(spec["normalizer"])
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.cache_pieces = cache_pieces
+        self.old, self.young = _Known(), _Known()
+        self.store, self.used = np.zeros(1 << 20, self.kind), 0
+
+    # --- the library ---
+
+    def _encode_singly(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of Latin-1 words of letters alone, in one call; word ends tell where each one's are."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._encode_singly(words)
+        raw, at = ids.tobytes(), [0, *(cuts * self.width).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Beyond Latin-1, lower-casing may cut a word. Punctuation after letters is a word of its own, so
+        "word.," is put together from "word" and ".,"."""
+        words, tails, others, plan = {}, {}, {}, []
+        for p in pieces:
+            word = p.rstrip(string.punctuation)
+            if word.isalpha() and max(word) < "Ā":
+                tail = p[len(word) :]
+                plan.append((words.setdefault(word, len(words)), tails.setdefault(tail, len(tails)) if tail else -1))
+            else:
+                plan.append((-1, others.setdefault(p, len(others))))
+        encoded = self._encode_words(list(words)) if words else []
+        singly = self._encode_singly([*tails, *others])
+        made_tails, made_others = singly[: len(tails)], singly[len(tails) :]
+        join = lambda w, t: made_others[t] if w < 0 else encoded[w] if t < 0 else encoded[w] + made_tails[t]
+        return [join(w, t) for w, t in plan]
+
+    # --- slices ---
+
+    def _keep(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, counts) in the store."""
+        count = np.array(list(map(len, ids)), np.int32) // self.width
+        total = int(count.sum())
+        if self.used + total > len(self.store):
+            grown = np.zeros(max(2 * len(self.store), self.used + total), self.kind)
+            grown[: self.used] = self.store[: self.used]
+            self.store = grown
+        if total:
+            self.store[self.used : self.used + total] = np.frombuffer(b"".join(ids), self.kind)
+        start = self.used + np.cumsum(count) - count
+        self.used += total
+        return start.astype(np.int64), count
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per text) of a slice of texts."""
+        words = Words(data, offsets, PIECE_BYTES, lower=self.lowers)
+        if not len(words.start):
+            return np.zeros(0, self.kind), np.zeros(words.texts, np.int64)
+        head, tail = words.ends()
+        size = (words.end - words.start).astype(np.int32)
+        key = words.hashes()
+        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        asked = {"key": unique, "size": size[first], "head": head[first], "tail": tail[first]}
+        if any((asked[f][inverse] != v).any() for f, v in (("size", size), ("head", head), ("tail", tail))):
+            texts = [bytes(data[a:b]).decode("utf-8") for a, b in zip(offsets, offsets[1:], strict=False)]  # hashes collide
+            singly = self._encode_singly(texts)
+            return np.frombuffer(b"".join(singly), self.kind), np.array([len(x) // self.width for x in singly], np.int64)
+        start, count = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int32)
+        open_ = np.ones(len(unique), bool)
+        for known in (self.old, self.young):
+            at, found = known.find(asked)
+            found &= open_
+            start[found], count[found] = known.columns["start"][at[found]], known.columns["count"][at[found]]
+            open_ &= ~found
+        before = self.used
+        new = np.flatnonzero(open_)
+        if len(new):
+            pieces = [words.word(i).decode("utf-8") for i in first[new].tolist()]
+            start[new], count[new] = self._keep(self._learn(pieces))
+        if self.lowers and len(new):  # lower-casing may have made a special string: such texts as they are
+            odd = [k for k, p in zip(new.tolist(), pieces, strict=True) if any(x in p for x in self.special)]
+            if odd:
+                self.used = before
+                return self._apart(data, offsets, set(words.text[np.isin(inverse, odd)].tolist()))
+        per_piece, begin = count[inverse].astype(np.int64), start[inverse]
+        ends = np.cumsum(per_piece)
+        ids = self.store[np.arange(ends[-1]) + np.repeat(begin - ends + per_piece, per_piece)]
+        ends = np.concatenate(([0], ends))
+        if len(new):
+            self._remember({f: v[new] for f, v in asked.items()} | {"start": start[new], "count": count[new]}, before)
+        return ids, np.diff(ends[words.first])
+
+    def _apart(self, data: np.ndarray, offsets: np.ndarray, odd: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [], []
+        for t in range(len(offsets) - 1):
+            text = data[offsets[t] : offsets[t + 1]]
+            x = np.frombuffer(self._encode_singly([bytes(text).decode("utf-8")])[0], self.kind) if t in odd else self._slice(text, np.array([0, len(text)]))[0]
+            ids.append(x)
+            counts.append(len(x))
+        return np.concatenate(ids), np.array(counts, np.int64)
+
+    def _remember(self, rows: dict[str, np.ndarray], before: int) -> None:
+        if len(self.old) + len(self.young) >= self.cache_pieces:
+            self.used = before  # what this slice has learned is let go
+            return
+        self.young.add(rows)
+        if len(self.young) > self.YOUNG:
+            self.old.add(self.young.columns)
+            self.young = _Known()
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, ids per text) of runs of a column's texts; nulls are empty."""
+        for first, data, offsets in text_slices(column):
+            yield first, *self._slice(data, offsets)
 
 
 # --- writing and reading --------------------------------------------------------------------------
@@ -161,26 +292,27 @@ class CachedTokenizer:
 def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
     key = f"huffman:{tokenizer}"
 
+    @worker(key)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(key, lambda: CachedTokenizer(tokenizer))
         width = encoder.width
         end, cuts = np.array([end_id], f"<u{width}").tobytes(), np.array(bounds, np.int64)
+        counts = np.zeros(max(end_id + 1, len(encoder.ends)), np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                ids = [x + end for x in encoder.encode_batch([t or "" for t in part.column("text").to_pylist()])]
-                place = np.searchsorted(cuts, part.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(place, pa.int32()),
-                        pa.array([len(x) // width for x in ids], pa.int32()),
-                        pa.array([width] * len(ids), pa.int32()),
-                        pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in ids], pa.binary()),
-                    ],
-                    names=["doc_id", "part", "n", "width", "ids"],
-                )
-
+            doc_ids = batch.column("doc_id")
+            for first, flat, n in encoder.encode(batch.column("text")):
+                counts += np.bincount(flat, minlength=len(counts))
+                counts[end_id] += len(n)
+                ends = np.cumsum(n)
+                ids = [flat[b - k : b].tobytes() + end for k, b in zip(n.tolist(), ends.tolist(), strict=True)]
+                part = doc_ids.slice(first, len(n))
+                place = np.searchsorted(cuts, part.fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
+                columns = [part, place, n + 1, np.full(len(n), width), [pa.compress(x, codec="zstd", asbytes=True) for x in ids]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(columns, kinds, strict=True)], names=names)
+        # The last row of a task has no part; it holds what the task has counted.
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, None, counts.tobytes()), kinds, strict=True)], names=names)
+
+    names, kinds = ["doc_id", "part", "n", "width", "ids"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     return docs.mapInArrow(run, "doc_id long, part int, n int, width int, ids binary")
 
 
@@ -189,18 +321,17 @@ def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield np.frombuffer(pa.decompress(ids.as_py(), n * width, codec="zstd"), f"<u{width}")
 
 
+@worker("huffman")
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
     for batch in batches:
-        found = np.bincount(np.concatenate([*_ids(batch), np.zeros(0, np.uint16)]).astype(np.int64))
-        if len(found) > len(total):
-            total, found = found, total
-        total[: len(found)] += found
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+        for x in batch.column("ids"):
+            total = np.frombuffer(x.as_py(), np.int64)
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
 
 def _block_writer(lengths: np.ndarray, starts: dict[int, int], block_tokens: int):
+    @worker("huffman")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         part, number, start = None, 0, 0
@@ -247,8 +378,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id_col: st
     texts = pick(docs, doc_id=id_col, text=text_col)
     parts = parallelism(spark)
     cuts = texts.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []
-    ids = materialize(_tokenized(texts, tokenizer, end_id, sorted(set(cuts))))
-    counted = ids.mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    made = materialize(_tokenized(texts, tokenizer, end_id, sorted(set(cuts))))
+    ids = made.where("part is not null")
+    counted = made.where("part is null").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in counted), default=0) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
@@ -271,6 +403,7 @@ def _decoded(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
 
 
 def _reader(lengths: np.ndarray, emit, names: list[str], kinds: list[pa.DataType]):
+    @worker("huffman")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         for batch in batches:
