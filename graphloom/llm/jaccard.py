@@ -1,8 +1,9 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 1. Each text becomes its set of distinct word n-grams (56-bit hashes); equal sets are one node.
-2. The n-grams are dealt by hash in packed blocks to count in how many sets each occurs. N-grams of one
-   set can't link anything and stop here; the others go back to their sets.
+2. The few n-grams that a large share of all sets holds are found first and stay with their sets. The
+   others are dealt by hash in packed blocks to count in how many sets each occurs. N-grams of one set
+   can't link anything and stop here; the others go back to their sets.
 3. A set orders its n-grams rare first. Sets that link must share an n-gram within their prefixes, so
    only prefix n-grams become postings.
 4. Only components are asked for, so each posting list is first compared with one pivot; what that
@@ -27,7 +28,11 @@ from ._text import U64, Words, byte_class, grams, mix, text_slices
 WORD_BYTES = byte_class(lambda b: b != 32 and not 9 <= b <= 13)
 TOKEN_BYTES = 7
 #: N-grams that a task packs together before it deals them out.
-PACK_TOKENS = 1 << 20
+PACK_TOKENS = 1 << 19
+#: N-grams in more than one of so many sets aren't dealt out to be counted: they stay with their sets and
+#: count as the most frequent ones.
+HEAVY_SHARE = 32
+HEAVY_COUNT = (1 << 32) - 1
 #: Pivot candidates per node.
 PIVOTS = 4
 
@@ -74,50 +79,109 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return text[new], g[new]
 
 
-def _sets(n: int, buckets: int, parts: int):
-    """Texts to packed blocks: n-grams by bucket (slots from 0 on), and what each text is (slots below 0)."""
-    shift = U64(8 * TOKEN_BYTES - (buckets.bit_length() - 1))
+class _Pack:
+    """Sets of some texts, held until they are enough to be sent on."""
 
-    def flush(held) -> Iterator[pa.RecordBatch]:
-        ids = pa.concat_arrays([x[0] for x in held])
-        size = np.concatenate([x[1] for x in held])
-        node = np.concatenate([x[2] for x in held])
-        token = np.concatenate([x[3] for x in held])
-        part = (node % U64(parts)).astype(np.int64)
-        for p in np.unique(part).tolist():
-            mine = np.flatnonzero(part == p)
-            yield _row(-1 - p, ids.take(pa.array(mine)).to_pylist(), node[mine].tobytes(), size[mine].astype("<u4").tobytes())
+    def __init__(self):
+        self.ids, self.size, self.node, self.token, self.tokens = [], [], [], [], 0
+
+    def add(self, ids: pa.Array, words: Words, n: int) -> None:
+        text, g = shingle_sets(words, n)
+        size = np.bincount(text, minlength=words.texts)
+        # A set's own hash: a sum over its mixed n-grams, mixed again with its size.
+        sums = np.zeros(words.texts, U64)
+        np.add.at(sums, text, mix(g * U64(0xC2B2AE3D27D4EB4F) + U64(1)))
+        for held, made in ((self.ids, ids), (self.size, size), (self.node, mix(sums ^ size.astype(U64))), (self.token, g)):
+            held.append(made)
+        self.tokens += len(g)
+
+    def take(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sizes, nodes, owners, n-grams): of equal sets only the first has its n-grams listed."""
+        size, node, token = (np.concatenate(x) for x in (self.size, self.node, self.token))
         owner = np.repeat(np.arange(len(node)), size)
-        bucket = (token >> shift).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            mine = order[cuts[b] : cuts[b + 1]]
-            if len(mine):
-                who = owner[mine]
-                first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-                many = np.diff(np.append(first, len(who)))
-                yield _row(b, None, node[who[first]].tobytes(), _squeeze(many.astype("<u4")), _narrow(token[mine]))
+        first = np.zeros(len(node), bool)
+        first[np.unique(node, return_index=True)[1]] = True
+        keep = first[owner]
+        return pa.concat_arrays(self.ids), size, node, owner[keep], token[keep]
+
+
+def _packs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[_Pack]:
+    pack = _Pack()
+    for batch in batches:
+        ids = batch.column("doc_id")
+        for first, data, offsets in text_slices(batch.column("text")):
+            words = Words(data, offsets, WORD_BYTES)
+            pack.add(ids.slice(first, words.texts), words, n)
+            if pack.tokens >= PACK_TOKENS:
+                yield pack
+                pack = _Pack()
+    if pack.ids:
+        yield pack
+
+
+def _often(n: int):
+    """N-grams in many sets of a pack, with how many; and, without an n-gram, the sets of the pack."""
 
     @worker("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tokens = [], 0
-        for batch in batches:
-            ids = batch.column("doc_id")
-            for first, data, offsets in text_slices(batch.column("text")):
-                words = Words(data, offsets, WORD_BYTES)
-                text, g = shingle_sets(words, n)
-                size = np.bincount(text, minlength=words.texts)
-                # A set's own hash: two independent sums over its n-grams, mixed.
-                sums = np.zeros(words.texts, U64)
-                np.add.at(sums, text, mix(g * U64(0xC2B2AE3D27D4EB4F) + U64(1)))
-                held.append((ids.slice(first, words.texts), size, mix(sums ^ size.astype(U64)), g))
-                tokens += len(g)
-                if tokens >= PACK_TOKENS:
-                    yield from flush(held)
-                    held, tokens = [], 0
-        if held:
-            yield from flush(held)
+        for pack in _packs(batches, n):
+            _, _, node, _, token = pack.take()
+            sets = len(np.unique(node))
+            found, many = np.unique(token, return_counts=True)
+            often = many >= max(16, sets // HEAVY_SHARE)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None, *found[often].view(np.int64).tolist()], pa.int64()), pa.array([sets, *many[often].tolist()], pa.int64())], names=["token", "n"]
+            )
+
+    return run
+
+
+def heavy_grams(texts: DataFrame, n: int) -> np.ndarray:
+    """The n-grams of so many sets that one task shouldn't gather them. As sets hold a mean of m n-grams,
+    at most ``HEAVY_SHARE`` * m n-grams can be in that share of them, so the list is short."""
+    counted = texts.mapInArrow(_often(n), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = materialize(counted)
+    sets = counted.where("token is null").first()
+    if sets is None:
+        return np.zeros(0, U64)
+    rows = counted.where((F.col("token").isNotNull()) & (F.col("n") * HEAVY_SHARE >= sets["n"])).select("token").collect()
+    return np.sort(np.array([r["token"] for r in rows], np.int64).view(U64))
+
+
+def _among(token: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    if not len(heavy):
+        return np.zeros(len(token), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, token), len(heavy) - 1)] == token
+
+
+def _sets(n: int, buckets: int, parts: int, shared):
+    """Texts to packed blocks: n-grams by bucket (slots from 0 on), and what each text is, with the heavy
+    n-grams of its set, by part (slots below 0)."""
+    shift = U64(8 * TOKEN_BYTES - (buckets.bit_length() - 1))
+
+    @worker("jaccard")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in _packs(batches, n):
+            ids, size, node, owner, token = pack.take()
+            is_heavy = _among(token, shared.value)
+            weight = np.bincount(owner[is_heavy], minlength=len(node))
+            heavy = token[is_heavy]
+            part = (node % U64(parts)).astype(np.int64)
+            heavy_part = part[owner[is_heavy]]
+            for p in np.unique(part).tolist():
+                mine = np.flatnonzero(part == p)
+                yield _row(-1 - p, ids.take(pa.array(mine)).to_pylist(), node[mine].tobytes(), size[mine].astype("<u4").tobytes(), _narrow(heavy[heavy_part == p]), weight[mine].astype("<u4").tobytes())
+            owner, token = owner[~is_heavy], token[~is_heavy]
+            bucket = (token >> shift).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                mine = order[cuts[b] : cuts[b + 1]]
+                if len(mine):
+                    who = owner[mine]
+                    first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+                    many = np.diff(np.append(first, len(who)))
+                    yield _row(b, None, node[who[first]].tobytes(), _squeeze(many.astype("<u4")), _narrow(token[mine]))
 
     return run
 
@@ -186,6 +250,9 @@ def _prefixes(top: int, bottom: int):
                 ids += row["ids"]
                 nodes.append(who)
                 sizes.append(np.frombuffer(row["sizes"], "<u4").astype(np.int64))
+                owners.append(np.repeat(who, np.frombuffer(row["counts"], "<u4")))
+                tokens.append(_wide(row["tokens"]))
+                counts.append(np.full(len(tokens[-1]), HEAVY_COUNT, np.uint32))
             else:
                 owners.append(np.repeat(who, np.frombuffer(pa.decompress(row["sizes"], 4 * len(who), codec="zstd"), "<u4")))
                 tokens.append(_wide(row["tokens"]))
@@ -193,10 +260,13 @@ def _prefixes(top: int, bottom: int):
         node, size = np.concatenate(nodes or [np.zeros(0, U64)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
         out = {"kind": np.zeros(len(node), np.int32), "doc_id": pa.array(ids, pa.int64()), "node": node.view(np.int64), "size": size}
         made = [_prefix_table(out)]
-        if owners:
+        if sum(map(len, owners)):
             owner, token, count = np.concatenate(owners), np.concatenate(tokens), np.concatenate(counts)
             order = np.lexsort((token, count, owner))
             owner, token = owner[order], token[order]
+            new = np.ones(len(owner), bool)  # heavy n-grams come once from every pack with the set
+            new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
+            owner, token = owner[new], token[new]
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             many = np.diff(np.append(first, len(owner)))
             distinct, at = np.unique(node, return_index=True)
@@ -279,7 +349,8 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     parts = parallelism(spark)
     buckets = 1 << max(4, (2 * parts - 1).bit_length())
     texts = pick(docs, doc_id=id_col, text=text_col)
-    packed = texts.mapInArrow(_sets(n, buckets, parts), _PACKED)
+    heavy = spark.sparkContext.broadcast(heavy_grams(texts, n))
+    packed = texts.mapInArrow(_sets(n, buckets, parts, heavy), _PACKED)
     shared = packed.groupBy("slot").applyInArrow(_shared(parts), _PACKED)
     table = materialize(shared.groupBy("slot").applyInArrow(_prefixes(top, bottom), _PREFIX))
     del packed, shared
