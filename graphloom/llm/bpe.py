@@ -20,9 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._common import Kept, pick, worker, worker_cache
+from ._pieces import PieceStore, per_text
+from ._text import Words, byte_class, text_slices
 
-CACHE_PIECES = 400_000
-CACHE_PAIRS = 300_000
+CACHE_PIECES = 1_000_000
+CACHE_PARTS = 100_000
+CACHE_PAIRS = 200_000
+#: Between two of these a space doesn't surely begin a piece: ASCII white space and separators.
+_BLANK = byte_class(lambda b: b == 32 or 9 <= b <= 13 or 28 <= b <= 31)
+_NOT_SPACE = byte_class(lambda b: b != 32)
+#: UTF-8 of white space beyond ASCII: lead byte, second byte, third bytes.
+_WIDE = ((0xC2, (0x85, 0xA0), None), (0xE1, (0x9A,), (0x80,)), (0xE2, (0x80,), (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, (0x81,), (0x9F,)), (0xE3, (0x80,), (0x80,)))
 
 
 class PrefixEncoder:
@@ -31,7 +39,7 @@ class PrefixEncoder:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.token = {r: t for t, r in self.rank.items()}
         self.split = regex.compile(pattern)
-        self.pieces, self.parts, self.pairs = Kept(cache_pieces), Kept(cache_pieces // 2), Kept(cache_pairs)
+        self.store, self.parts, self.pairs = PieceStore("<u4", cache_pieces), Kept(CACHE_PARTS), Kept(cache_pairs)
         #: By its last four bytes, the lengths of the tokens that may end a prefix, longest first.
         self.short_tails = [3, 2, 1]
         tails: dict[bytes, set[int]] = {}
@@ -148,32 +156,60 @@ class PrefixEncoder:
         return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
-
-        A space between two characters that aren't white space always begins a new piece, so the
-        text can be cut there first and known parts looked up."""
-        if not text:
-            return b""
-        parts, known = text.split(" "), self.pieces
-        head = parts[0]
-        if len(parts) > 1 and (not head or head[-1].isspace()):
-            return self._run(text)
-        out = [self._run(head)]
-        for p in parts[1:]:
-            ids = known.get(p)
-            if ids is None:
-                if not p or p[0].isspace() or p[-1].isspace():
-                    return self._run(text)
-                ids = self._run(" " + p)
-                if len(p) <= 64:
-                    known.keep(p, ids)
-            out.append(ids)
-        return b"".join(out)
+        """Ids as little-endian unsigned 32-bit integers."""
+        return self._run(text) if text else b""
+
+    def encode_column(self, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+        """(first row, ids of each text) of runs of a column's texts; nulls are empty.
+
+        A space between two characters that aren't white space always begins a new piece, so texts
+        whose spaces are all like that are cut there, and what is between is looked up."""
+        for first, data, offsets in text_slices(column):
+            plain = ~_blank_beside_space(data, offsets)
+            words = Words(data, offsets, _NOT_SPACE, lower=False)
+            if not len(words.start):
+                yield first, [self.encode(bytes(data[a:b]).decode("utf-8")) for a, b in zip(offsets, offsets[1:], strict=False)]
+                continue
+            leads = words.start == offsets[words.text]
+
+            def learn(at: list[int], words=words, leads=leads) -> list[bytes]:
+                return [self._run(("" if leads[i] else " ") + words.word(i).decode("utf-8")) for i in at]
+
+            made = self.store.encode(words, learn, leads)
+            if not isinstance(made, tuple):
+                plain[:] = False
+                ends = np.zeros(words.texts + 1, np.int64)
+            else:
+                ends = np.concatenate(([0], np.cumsum(per_text(words, made[1]))))
+            out = []
+            for t, (a, b, is_plain) in enumerate(zip(ends.tolist(), ends[1:].tolist(), plain.tolist(), strict=False)):
+                out.append(made[0][a:b].tobytes() if is_plain else self.encode(bytes(data[offsets[t] : offsets[t + 1]]).decode("utf-8")))
+            yield first, out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _blank_beside_space(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts that begin or end with a space, or have white space beside one, or any beyond ASCII."""
+    blank, space = _BLANK[data], data == 32
+    odd = np.zeros(len(data), bool)
+    odd[1:] = space[1:] & blank[:-1]
+    odd[:-1] |= space[:-1] & blank[1:]
+    for lead, seconds, thirds in _WIDE:
+        at = np.flatnonzero(data[:-1] == lead)
+        at = at[np.isin(data[at + 1], seconds)]
+        if thirds is not None and len(at):
+            at = at[at + 2 < len(data)]
+            at = at[np.isin(data[at + 2], thirds)]
+        odd[at] = True
+    filled = np.flatnonzero(offsets[:-1] < offsets[1:])
+    odd[offsets[filled]] |= space[offsets[filled]]
+    odd[offsets[filled + 1] - 1] |= space[offsets[filled + 1] - 1]
+    sums = np.concatenate(([0], np.cumsum(odd)))
+    return sums[offsets[1:]] > sums[offsets[:-1]]
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_tokens, ids`` (binary, little-endian unsigned 32-bit).
 
@@ -185,9 +221,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(key, lambda: PrefixEncoder(ranks, pattern))
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                ids = [encoder.encode(t.as_py()) for t in part.column("text")]
+            for at, ids in encoder.encode_column(batch.column("text")):
+                part = batch.slice(at, len(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
@@ -218,10 +253,9 @@ def with_ids(docs: DataFrame, ranks: str, pattern: str, *, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(key, lambda: PrefixEncoder(ranks, pattern))
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                texts = [t.as_py() or "" for t in part.column(place)]
-                ids = [encoder.encode(t) for t in texts]
+            for at, ids in encoder.encode_column(batch.column(place)):
+                part = batch.slice(at, len(ids))
+                texts = [t or "" for t in part.column(place).to_pylist()]
                 if any(encoder.decode(x) != t.encode("utf-8") for x, t in zip(ids, texts, strict=True)):
                     raise ValueError("a text doesn't come back from its ids")
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*kept, "n_tokens", "ids"])
@@ -239,11 +273,10 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_
         encoder = worker_cache(key, lambda: PrefixEncoder(ranks, pattern))
         for batch in batches:
             n, a, b = [], [], []
-            for t in batch.column("text"):
-                ids = encoder.encode(t.as_py())
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+            for _, texts in encoder.encode_column(batch.column("text")):
+                n += [len(ids) // 4 for ids in texts]
+                a += [hashlib.sha256(ids).hexdigest() for ids in texts]
+                b += [hashlib.sha256(encoder.decode(ids)).hexdigest() for ids in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import materialize, parallelism, pick, shared_dir, worker, worker_cache
+from ._pieces import PieceStore, per_text
 from ._text import Words, byte_class, text_slices
 
 MAX_LENGTH = 18
@@ -116,46 +117,11 @@ class Code:
 # --- the tokenizer --------------------------------------------------------------------------------
 
 
-class _Known:
-    """Ids of pieces that were met before: sorted piece hashes, a run of the id store each. A piece is
-    recognised by hash, length and its first and last eight bytes, which is all of most pieces."""
-
-    FIELDS = ("key", "size", "head", "tail", "start", "count")
-
-    def __init__(self):
-        kinds = (np.uint64, np.int32, np.uint64, np.uint64, np.int64, np.int32)
-        self.columns = {f: np.zeros(0, k) for f, k in zip(self.FIELDS, kinds, strict=True)}
-
-    def __len__(self) -> int:
-        return len(self.columns["key"])
-
-    def find(self, asked: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, found) of pieces that are sorted by hash."""
-        c = self.columns
-        if not len(self):
-            return np.zeros(len(asked["key"]), np.int64), np.zeros(len(asked["key"]), bool)
-        at = np.minimum(np.searchsorted(c["key"], asked["key"]), len(self) - 1)
-        found = c["key"][at] == asked["key"]
-        for f in ("size", "head", "tail"):
-            found &= c[f][at] == asked[f]
-        return at, found
-
-    def add(self, rows: dict[str, np.ndarray]) -> None:
-        """Rows sorted by key join; of equal keys the one that is here stays."""
-        at = np.searchsorted(self.columns["key"], rows["key"])
-        if len(self):
-            new = self.columns["key"][np.minimum(at, len(self) - 1)] != rows["key"]
-            at, rows = at[new], {f: v[new] for f, v in rows.items()}
-        self.columns = {f: np.insert(c, at, rows[f]) for f, c in self.columns.items()}
-
-
 class CachedTokenizer:
     """A word-level tokenizer of the ``tokenizers`` library that drops white space: no token reaches
     over it, so the pieces between are encoded once and looked up from then on, whole slices of texts
     at a time. The most pieces that are kept is ``cache_pieces``; those that come first are."""
 
-    YOUNG = 1 << 16
-
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -172,9 +138,7 @@ class CachedTokenizer:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.lowers = '"Lowercase"' in json.dumps(spec["normalizer"])
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.cache_pieces = cache_pieces
-        self.old, self.young = _Known(), _Known()
-        self.store, self.used = np.zeros(1 << 20, self.kind), 0
+        self.store = PieceStore(self.kind, cache_pieces)
 
     # --- the library ---
 
@@ -209,58 +173,24 @@ class CachedTokenizer:
 
     # --- slices ---
 
-    def _keep(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, counts) in the store."""
-        count = np.array(list(map(len, ids)), np.int32) // self.width
-        total = int(count.sum())
-        if self.used + total > len(self.store):
-            grown = np.zeros(max(2 * len(self.store), self.used + total), self.kind)
-            grown[: self.used] = self.store[: self.used]
-            self.store = grown
-        if total:
-            self.store[self.used : self.used + total] = np.frombuffer(b"".join(ids), self.kind)
-        start = self.used + np.cumsum(count) - count
-        self.used += total
-        return start.astype(np.int64), count
-
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per text) of a slice of texts."""
         words = Words(data, offsets, PIECE_BYTES, lower=self.lowers)
         if not len(words.start):
             return np.zeros(0, self.kind), np.zeros(words.texts, np.int64)
-        head, tail = words.ends()
-        size = (words.end - words.start).astype(np.int32)
-        key = words.hashes()
-        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        asked = {"key": unique, "size": size[first], "head": head[first], "tail": tail[first]}
-        if any((asked[f][inverse] != v).any() for f, v in (("size", size), ("head", head), ("tail", tail))):
-            texts = [bytes(data[a:b]).decode("utf-8") for a, b in zip(offsets, offsets[1:], strict=False)]  # hashes collide
-            singly = self._encode_singly(texts)
-            return np.frombuffer(b"".join(singly), self.kind), np.array([len(x) // self.width for x in singly], np.int64)
-        start, count = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int32)
-        open_ = np.ones(len(unique), bool)
-        for known in (self.old, self.young):
-            at, found = known.find(asked)
-            found &= open_
-            start[found], count[found] = known.columns["start"][at[found]], known.columns["count"][at[found]]
-            open_ &= ~found
-        before = self.used
-        new = np.flatnonzero(open_)
-        if len(new):
-            pieces = [words.word(i).decode("utf-8") for i in first[new].tolist()]
-            start[new], count[new] = self._keep(self._learn(pieces))
-        if self.lowers and len(new):  # lower-casing may have made a special string: such texts as they are
-            odd = [k for k, p in zip(new.tolist(), pieces, strict=True) if any(x in p for x in self.special)]
-            if odd:
-                self.used = before
-                return self._apart(data, offsets, set(words.text[np.isin(inverse, odd)].tolist()))
-        per_piece, begin = count[inverse].astype(np.int64), start[inverse]
-        ends = np.cumsum(per_piece)
-        ids = self.store[np.arange(ends[-1]) + np.repeat(begin - ends + per_piece, per_piece)]
-        ends = np.concatenate(([0], ends))
-        if len(new):
-            self._remember({f: v[new] for f, v in asked.items()} | {"start": start[new], "count": count[new]}, before)
-        return ids, np.diff(ends[words.first])
+
+        def learn(at: list[int]) -> list[bytes | None]:
+            pieces = [words.word(i).decode("utf-8") for i in at]
+            if self.lowers:  # lower-casing may have made a special string: such texts go as they are
+                odd = [any(x in p for x in self.special) for p in pieces]
+                if any(odd):
+                    return [None if o else b"" for o in odd]
+            return self._learn(pieces)
+
+        made = self.store.encode(words, learn)
+        if isinstance(made, tuple):
+            return made[0], per_text(words, made[1])
+        return self._apart(data, offsets, set(range(words.texts)) if made is None else set(words.text[made].tolist()))
 
     def _apart(self, data: np.ndarray, offsets: np.ndarray, odd: set[int]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = [], []
@@ -271,15 +201,6 @@ class CachedTokenizer:
             counts.append(len(x))
         return np.concatenate(ids), np.array(counts, np.int64)
 
-    def _remember(self, rows: dict[str, np.ndarray], before: int) -> None:
-        if len(self.old) + len(self.young) >= self.cache_pieces:
-            self.used = before  # what this slice has learned is let go
-            return
-        self.young.add(rows)
-        if len(self.young) > self.YOUNG:
-            self.old.add(self.young.columns)
-            self.young = _Known()
-
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, ids per text) of runs of a column's texts; nulls are empty."""
         for first, data, offsets in text_slices(column):
