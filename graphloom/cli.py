@@ -53,7 +53,9 @@ def main(argv: list[str] | None = None) -> None:
     triples = rdf.read_graph(spark, args.graph).cache()
     match args.command:
         case "stats":
-            sinks.write_json(graph.graph_stats(triples, args.graph), args.out)
+            stats = graph.graph_stats(triples, args.graph)
+            sinks.write_json(stats, args.out)
+            print(graph.format_stats(stats))
         case "schema":
             print(graph.schema_summary(triples))
         case "query":

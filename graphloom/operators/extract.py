@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import clean_text, is_predicate_verb, is_target_label, is_useful_endpoint, is_useful_page, is_valid_entity, strip, title_from_url, verb_label, word_count
@@ -165,9 +165,9 @@ def first_of(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return chosen.select(*[F.col(c) if c in by else F.col(f"r.{c}").alias(c) for c in rows.columns])
 
 
-def facts(pages: DataFrame, annotator: Annotator = default_annotator, id_col: str = "page_id") -> DataFrame:
+def facts(pages: DataFrame, annotator: Annotator = default_annotator, id_col: str = "page_id", counters: Observation | None = None) -> DataFrame:
     """The fact table of pages (``page_id, url, title, text``): relations of all pages before mentions, the
-    first of each (subject, predicate, object)."""
+    first of each (subject, predicate, object). ``counters`` observes the rows before that choice."""
     tokens = tokenize(pages, annotator, id_col)
     sources = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", F.coalesce("title", "url").alias("title"))
     cut: Callable[[str], Column] = lambda c: F.substring(c, 1, 300)
@@ -179,6 +179,8 @@ def facts(pages: DataFrame, annotator: Annotator = default_annotator, id_col: st
         F.col("url").alias("source_url"), cut("sentence").alias("sentence"), F.lit("ner").alias("extraction_type"),
     )
     clean = rel.unionByName(ner)
+    if counters is not None:
+        clean = clean.observe(counters, F.count_if(F.col("kind") == 0).alias("relations"), F.count_if(F.col("kind") == 1).alias("mentions"))
     for c in ("subject", "predicate", "object"):
         clean = clean.withColumn(c, strip(c))
     return first_of(clean, ["subject", "predicate", "object"], ["kind", "page_id", "sent_id", "i"]).select(

@@ -98,6 +98,11 @@ def graph_stats(graph: DataFrame, source: str = "") -> dict:
     return {"num_triples": one["n"], "num_entities": entities(graph).count(), "num_relations": one["p"], "top_types": top, "source_file": source}
 
 
+def format_stats(stats: dict, most: int = 5) -> str:
+    lines = [f"{name:<12}{stats[key]:>12,}" for name, key in (("Triples", "num_triples"), ("Entities", "num_entities"), ("Relations", "num_relations"))]
+    return "\n".join([*lines, "Types", *[f"  {t.rsplit('/', 1)[-1]:<30}{n:>10,}" for t, n in list(stats["top_types"].items())[:most]]])
+
+
 def schema_summary(graph: DataFrame, top: int = 20) -> str:
     """The schema as text for a model: prefixes, classes and predicates with counts, sample entities."""
     lines = ["### Prefixes"]

@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import keyword_class
 from graphloom.operators import splits
 from graphloom.sources.tables import dictionaries, encode_ids
+from graphloom.terms import CLASS_COLOURS
 
 MODELS = ("TransE", "DistMult", "ComplEx")
 
@@ -186,6 +188,41 @@ def embeddings(model: Model, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, n, [float(x) for x in model.entities[i]]) for i, n in enumerate(names)], "id long, label string, vector array<double>")
 
 
+def save_model(model: Model, spark: SparkSession, path: str) -> None:
+    """A model as tables: entities and relations (id, label, vector) and its kind."""
+    embeddings(model, spark).write.mode("overwrite").parquet(f"{path}/entities")
+    names = sorted(model.relation_ids, key=model.relation_ids.get)
+    relations = [(i, n, [float(x) for x in model.relations[i]]) for i, n in enumerate(names)]
+    spark.createDataFrame(relations, "id long, label string, vector array<double>").write.mode("overwrite").parquet(f"{path}/relations")
+    spark.createDataFrame([(model.kind,)], "kind string").write.mode("overwrite").parquet(f"{path}/kind")
+
+
+def load_model(spark: SparkSession, path: str, max_parameters: int = 200_000_000) -> Model:
+    """What ``save_model`` wrote; labels are the ids as text where a table has none."""
+    found = {}
+    for part in ("entities", "relations"):
+        table = spark.read.parquet(f"{path}/{part}")
+        label = F.col("label") if "label" in table.columns else F.col("id").cast("string")
+        width = table.select(F.size("vector").alias("w")).first()["w"]
+        if table.count() * width > max_parameters:
+            raise ValueError(f"more than {max_parameters} parameters")
+        rows = sorted(table.select("id", label.alias("label"), "vector").toLocalIterator(), key=lambda r: r["id"])
+        found[part] = (np.array([r["vector"] for r in rows]), {r["label"]: i for i, r in enumerate(rows)})
+    kind = spark.read.parquet(f"{path}/kind").first()["kind"]
+    return Model(kind, found["entities"][0], found["relations"][0], found["entities"][1], found["relations"][1])
+
+
+def coordinates(vectors: DataFrame, method: str = "tsne", most: int = 2000, **options) -> DataFrame:
+    """(id, label, x, y, class, colour) of at most ``most`` embeddings (``id, label, vector``), by a hash of
+    the label where there are more: what a plot of the space shows."""
+    spark = vectors.sparkSession
+    rows = vectors.orderBy(F.xxhash64("label"), "id").limit(most).collect()
+    xy = project(np.array([r["vector"] for r in rows], float), method, **options) if rows else []
+    out = spark.createDataFrame([(r["id"], r["label"], float(a), float(b)) for r, (a, b) in zip(rows, xy, strict=True)], "id long, label string, x double, y double")
+    colours = F.create_map(*[F.lit(v) for pair in CLASS_COLOURS.items() for v in pair])
+    return out.withColumn("class", keyword_class("label")).withColumn("colour", colours[F.col("class")])
+
+
 def project(vectors: np.ndarray, method: str = "tsne", perplexity: float | None = None, rounds: int = 1000, seed: int = 42) -> np.ndarray:
     """2-d coordinates of a bounded set of vectors: PCA, or t-SNE started from it."""
     x = vectors - vectors.mean(0)

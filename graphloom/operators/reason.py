@@ -28,6 +28,14 @@ def commanders(graph: DataFrame, astronaut: str = f"{ONTOLOGY}Astronaut", comman
     return typed(graph, astronaut).join(graph.where(F.col("p") == commands).select("s"), "s", "left_semi")
 
 
+def ensure_vocabulary(graph: DataFrame, classes: tuple[str, ...] = (), properties: tuple[str, ...] = ()) -> DataFrame:
+    """The graph with a declaration of each class and property that it lacks."""
+    wanted = [(c, f"{OWL}Class") for c in classes] + [(p, f"{OWL}ObjectProperty") for p in properties]
+    rows = graph.sparkSession.createDataFrame([(s, "uri", TYPE, o, "uri", "", "") for s, o in wanted], graph.schema)
+    declared = graph.where(F.col("p") == TYPE).select("s")
+    return graph.unionByName(rows.join(declared, "s", "left_anti").select(*graph.columns))
+
+
 def demo_commanders(spark: SparkSession) -> list[str]:
     """The rule on a constant example, for where there is no ontology."""
     astronauts = spark.createDataFrame([(a,) for a in ("Neil Armstrong", "Pete Conrad", "Alan Shepard", "John Young")], "name string")

@@ -219,3 +219,10 @@ def test_split_invariants(spark):
     assert splits.orphans(kept).count() == 0 and rows(kept, "s", "p", "o") == rows(t, "s", "p", "o")
     assert rows(splits.sample(t, 10), "s", "p", "o") == rows(splits.sample(t, 10), "s", "p", "o") and splits.sample(t, 10_000).count() == n
     assert splits.assign(t.limit(0)).count() == 0
+
+
+def test_vocabulary_and_stats_text(spark):
+    g = triples(spark, ("C", TYPE, f"{OWL}Class"), ("a", TYPE, "C"))
+    out = reason.ensure_vocabulary(g, ("C", "oldPerson"), ("hasAge",))
+    assert {("oldPerson", f"{OWL}Class"), ("hasAge", f"{OWL}ObjectProperty")} <= set(rows(out, "s", "o")) and out.count() == 4
+    assert "Triples" in graph.format_stats(graph.graph_stats(g))

@@ -123,3 +123,22 @@ def test_streams(spark, tmp_path):
     q = ingest.into_table(ingest.page_stream(spark, str(pages)), str(tmp_path / "o2"), str(tmp_path / "c2"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 1
+
+
+def test_models_are_saved_and_mapped(spark, tmp_path):
+    rows = [(f"http://x/Mars_{i}", "uri", "r", f"http://x/Apollo_{i}", "uri", "", "") for i in range(6)]
+    model, _ = kge.train(spark, splits.uri_triples(spark.createDataFrame(rows, TRIPLE_SCHEMA)), "ComplEx", dim=4, epochs=2)
+    kge.save_model(model, spark, str(tmp_path / "m"))
+    back = kge.load_model(spark, str(tmp_path / "m"))
+    assert back.kind == "ComplEx" and np.allclose(back.entities, model.entities) and back.relation_ids == model.relation_ids
+    got = kge.coordinates(kge.embeddings(model, spark), "pca").collect()
+    assert {(r["class"], r["colour"]) for r in got} == {("CelestialBody", "#27AE60"), ("SpaceMission", "#E67E22")} and len(got) == 12
+    assert "TransE" in kge.format_comparison([{"model": "TransE", "mrr_both": 0.5}]) and "n/a" in kge.format_comparison([{"model": "TransE"}])
+
+
+def test_facts_are_counted_before_the_choice(spark):
+    from pyspark.sql import Observation
+
+    pages = spark.createDataFrame([(i, "u", "A", "Later Neil Armstrong commanded Apollo 11.") for i in range(3)], "page_id long, url string, title string, text string")
+    seen = Observation()
+    assert extract.facts(pages, counters=seen).count() < seen.get["relations"] + seen.get["mentions"]
