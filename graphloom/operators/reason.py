@@ -72,46 +72,74 @@ def definitions(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts, some.join(restrictions(graph), some["part"] == F.col("r")).select("cls", "on", "filler").distinct()
 
 
+#: Predicates that say something about classes and properties, and kinds of properties.
+VOCABULARY = (SUBCLASS, SUBPROPERTY, DOMAIN, RANGE, EQUIVALENT_PROPERTY, f"{RDF}first", f"{RDF}rest", *(f"{OWL}{n}" for n in ("inverseOf", "equivalentClass", "intersectionOf", "onProperty", "someValuesFrom", "minCardinality", "minQualifiedCardinality")))
+PROPERTY_KINDS = (f"{OWL}SymmetricProperty", f"{OWL}TransitiveProperty")
+#: Ontologies of at most so many statements become constants of the plan; larger ones are tables.
+SMALL_ONTOLOGY = 50_000
+
+
+def _vocabulary(graph: DataFrame) -> tuple[DataFrame, list | None]:
+    """The statements about the vocabulary, and, if they are few, their rows."""
+    rules = graph.where(F.col("p").isin(*VOCABULARY) | ((F.col("p") == TYPE) & F.col("o").isin(*PROPERTY_KINDS)))
+    rows = rules.limit(SMALL_ONTOLOGY + 1).collect()
+    if len(rows) > SMALL_ONTOLOGY:
+        return cut(rules), None
+    return graph.sparkSession.createDataFrame(rows, graph.schema), rows
+
+
 def infer(graph: DataFrame, same_as: bool = False) -> DataFrame:
     """The closure of a graph under its own ontology, as (s, p, o) rows, those given included: class and
     property hierarchies, domains and ranges, inverse, symmetric and transitive properties, classes
     defined by cardinality or existential restrictions; optionally equal individuals and properties.
 
-    The vocabulary is small and is turned into rule tables once; each round joins only what is new with
-    what is known. Joins with rule tables are left to the optimizer's own size estimates."""
+    The statements about the vocabulary are found once; rules that none of them calls for take no part.
+    Each round joins only what is new with what is known. Joins with rule tables are left to the
+    optimizer's own size estimates."""
     # Objects that are literals neither get types nor turn round.
     facts = graph.select("s", "p", "o", (F.col("o_kind") != "literal").alias("node")).distinct()
-    of = lambda p, a, b: cut(graph.where(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b)).distinct())
-    kinds = lambda name: cut(graph.where((F.col("p") == TYPE) & (F.col("o") == f"{OWL}{name}Property")).select(F.col("s").alias("p")).distinct())
+    rules, rows = _vocabulary(graph)
+    has = lambda *predicates: rows is None or any(r["p"] in predicates for r in rows)
+    is_kind = lambda name: rows is None or any(r["p"] == TYPE and r["o"] == f"{OWL}{name}Property" for r in rows)
+    of = lambda p, a, b: rules.where(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b)).distinct()
+    kinds = lambda name: rules.where((F.col("p") == TYPE) & (F.col("o") == f"{OWL}{name}Property")).select(F.col("s").alias("p")).distinct()
     sub_class, sub_property = of(SUBCLASS, "o", "up"), of(SUBPROPERTY, "p", "up")
     domain, range_ = of(DOMAIN, "p", "cls"), of(RANGE, "p", "cls")
     inverse = of(f"{OWL}inverseOf", "p", "other")
     inverse = inverse.unionByName(inverse.select(F.col("other").alias("p"), F.col("p").alias("other"))).distinct()
+    has_sub_property = has(SUBPROPERTY) or same_as and has(EQUIVALENT_PROPERTY)
     if same_as:
         equal = of(EQUIVALENT_PROPERTY, "p", "up")
         sub_property = sub_property.unionByName(equal).unionByName(equal.select(F.col("up").alias("p"), F.col("p").alias("up")))
     symmetric, transitive = kinds("Symmetric"), kinds("Transitive")
-    parts, some = (cut(x) for x in definitions(graph))
-    wanted = cut(parts.groupBy("cls").agg(F.count(F.lit(1)).alias("n_parts")).join(some.groupBy("cls").agg(F.count(F.lit(1)).alias("n_some")), "cls", "full").fillna(0))
-    has_definitions = not wanted.isEmpty()
+    has_definitions = has(f"{OWL}equivalentClass", f"{OWL}intersectionOf")
+    if has_definitions:
+        parts, some = (cut(x) for x in definitions(rules))
+        wanted = cut(parts.groupBy("cls").agg(F.count(F.lit(1)).alias("n_parts")).join(some.groupBy("cls").agg(F.count(F.lit(1)).alias("n_some")), "cls", "full").fillna(0))
+        has_definitions = not wanted.isEmpty()
     node = F.lit(True).alias("node")
     as_type = lambda df, cls: df.select("s", F.lit(TYPE).alias("p"), F.col(cls).alias("o"), node)
 
     def step(known: DataFrame, new: DataFrame) -> DataFrame:
         types, links = new.where(F.col("p") == TYPE), new.where(F.col("p") != TYPE)
         turned = lambda df: df.where("node").select(F.col("o").alias("s"), "p", F.col("s").alias("o"), node)
-        out = [
-            as_type(types.join(sub_class, "o"), "up"),
-            links.join(sub_property, "p").select("s", F.col("up").alias("p"), "o", "node"),
-            as_type(links.join(domain, "p"), "cls"),
-            as_type(links.where("node").join(range_, "p").select(F.col("o").alias("s"), "cls"), "cls"),
-            turned(links.join(inverse, "p").select("s", F.col("other").alias("p"), "o", "node")),
-            turned(links.join(symmetric, "p", "left_semi")),
-        ]
-        chain = lambda df: df.join(transitive, "p", "left_semi").where("node").select("p", "s", "o")
-        a, b = chain(links), chain(known)
-        tail = lambda x, y: x.select("p", "s", F.col("o").alias("mid")).join(y.select("p", F.col("s").alias("mid"), "o"), ["p", "mid"]).select("s", "p", "o", node)
-        out += [tail(a, b), tail(b, a)]
+        out = []
+        if has(SUBCLASS):
+            out.append(as_type(types.join(sub_class, "o"), "up"))
+        if has_sub_property:
+            out.append(links.join(sub_property, "p").select("s", F.col("up").alias("p"), "o", "node"))
+        if has(DOMAIN):
+            out.append(as_type(links.join(domain, "p"), "cls"))
+        if has(RANGE):
+            out.append(as_type(links.where("node").join(range_, "p").select(F.col("o").alias("s"), "cls"), "cls"))
+        if has(f"{OWL}inverseOf"):
+            out.append(turned(links.join(inverse, "p").select("s", F.col("other").alias("p"), "o", "node")))
+        if is_kind("Symmetric"):
+            out.append(turned(links.join(symmetric, "p", "left_semi")))
+        if is_kind("Transitive"):
+            chain = lambda df: df.join(transitive, "p", "left_semi").where("node").select("p", "s", "o")
+            tail = lambda x, y: x.select("p", "s", F.col("o").alias("mid")).join(y.select("p", F.col("s").alias("mid"), "o"), ["p", "mid"]).select("s", "p", "o", node)
+            out += [tail(chain(links), chain(known)), tail(chain(known), chain(links))]
         if has_definitions:
             typed_all = known.where(F.col("p") == TYPE).select("s", "o")
             named = typed_all.join(parts, typed_all["o"] == parts["part"]).groupBy("s", "cls").agg(F.count_distinct("part").alias("have_parts"))
@@ -125,6 +153,8 @@ def infer(graph: DataFrame, same_as: bool = False) -> DataFrame:
             same = known.where(F.col("p") == SAME_AS).select("s", F.col("o").alias("twin"))
             same = same.unionByName(same.select(F.col("twin").alias("s"), F.col("s").alias("twin"))).distinct()
             out.append(new.join(same, "s").select(F.col("twin").alias("s"), "p", "o", "node"))
+        if not out:
+            return new.limit(0)
         return reduce(DataFrame.unionByName, out)
 
     return saturate(facts, step).select(*SPO)

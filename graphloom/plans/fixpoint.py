@@ -56,8 +56,6 @@ def saturate(facts: DataFrame, step, max_rounds: int = 50) -> DataFrame:
         if new.isEmpty():
             forget(new)
             return known
-        whole = cut(known.unionByName(new))
-        for old in {id(x): x for x in (known, delta)}.values():
-            forget(old)
-        known, delta = whole, new
+        # What is known is the union of the rounds' tables; none is written twice.
+        known, delta = known.unionByName(new), new
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
