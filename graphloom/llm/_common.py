@@ -98,7 +98,7 @@ def worker(owner: str):
 
         def batches(it):
             _take_over(owner)
-            yield from function(it)
+            yield from function(_trimmed(it))
             _release()
 
         # Spark looks at how many arguments a function of groups takes.
@@ -112,15 +112,29 @@ def worker(owner: str):
 
 
 def _take_over(owner: str) -> None:
-    if any(other != owner for other in _OWNED):
+    if not _OWNED.get("__libc"):
+        # Arrays of a megabyte or more are mapped and unmapped singly, so they leave no holes.
+        _libc("mallopt", -3, 1 << 20)
+    if any(other not in (owner, "__libc") for other in _OWNED):
         _OWNED.clear()
         _release()
+    _OWNED["__libc"] = True
+
+
+def _trimmed(batches):
+    for batch in batches:
+        yield batch
+        _release()
 
 
 def _release() -> None:
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
-        ctypes.CDLL(None).malloc_trim(0)
+    _libc("malloc_trim", 0)
+
+
+def _libc(name: str, *args: int) -> None:
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has these
+        getattr(ctypes.CDLL(None), name)(*args)
 
 
 class Kept(dict):
