@@ -98,7 +98,7 @@ PROPERTIES = {
     "isCommanderOf": ("Astronaut", "SpaceMission", "An astronaut commands a specific mission."),
 }
 ONTOLOGY_LABEL = "Space Exploration Knowledge Graph Ontology"
-ONTOLOGY_COMMENT = "Minimal ontology for the space-exploration domain. Generated by the Web Datamining & Semantics project."
+ONTOLOGY_COMMENT = "Minimal ontology for the space-exploration domain."
 
 # Classes by keyword in a URI; the first class with a hit wins.
 CLASS_KEYWORDS = {
