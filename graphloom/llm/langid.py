@@ -2,7 +2,8 @@
 
 A text is a normalised TF-IDF vector of hashed letter n-grams (one to three bytes, lower case). Each
 language has several centroids, from spherical k-means over a bounded sample of labelled rows. A text
-gets the language of the centroid nearest by cosine, and is rejected where even that one is too far.
+gets the language of the centroid nearest by cosine, and is rejected where even that one is too far for
+a text of so many n-grams: each language has a bound of its own, from its labelled rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from ._text import LOWER, text_slices
 DIMENSIONS = 4096
 _BATCH = 256
 UNKNOWN = "und"
+#: The cosine of texts with fewer distinct n-grams than this falls with the root of their number.
+_FULL = 256
+#: The share of a language's labelled rows that may be odd: they don't count for its bound.
+_ODD = 0.02
 
 #: Bytes that may be in letters: a-z and all of UTF-8 beyond ASCII; others become a space.
 _LETTER = np.full(256, 32, np.uint8)
@@ -71,7 +76,7 @@ class Centroids:
     idf: np.ndarray
     centers: np.ndarray  # normalised rows
     language: list[str]  # of each center
-    nearest_least: float  # cosine under which a text is rejected
+    nearest_least: np.ndarray  # of each center: nearness under which a text is rejected
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
@@ -79,15 +84,21 @@ class Centroids:
         return x / np.where(norm > 0, norm, 1)
 
 
+def _nearness(cosine: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Cosines as of texts with n-grams enough: short ones are far from every centroid."""
+    return cosine / np.sqrt(np.clip((counts > 0).sum(1), 1, _FULL) / _FULL)
+
+
 def fit(texts: list[str], languages: list[str], *, clusters: int = 4, rounds: int = 12, reject_share: float = 0.5, seed: int = 7) -> Centroids:
-    """Centroids of labelled texts. ``reject_share``: a text is rejected if its best cosine is under
-    this share of the least one among the labelled texts."""
+    """Centroids of labelled texts. ``reject_share``: a text is rejected if its nearness is under this
+    share of the least one among the labelled texts of the language, but for the ``_ODD`` least (one at
+    least, where there are several)."""
     counts = np.concatenate([c for _, c in features(pa.array(texts, pa.large_string()))]) if texts else np.zeros((0, DIMENSIONS), np.float32)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    model = Centroids(idf, np.zeros((0, DIMENSIONS), np.float32), [], 0.0)
+    model = Centroids(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
     x = model.vectors(counts)
     label = np.array(languages, object)
-    centers, owner, least = [], [], 1.0
+    centers, owner, least = [], [], []
     for language in sorted(set(languages)):
         mine = x[label == language]
         rng = np.random.default_rng(seed)
@@ -97,11 +108,12 @@ def fit(texts: list[str], languages: list[str], *, clusters: int = 4, rounds: in
             sums = np.stack([mine[best == k].sum(0) if (best == k).any() else center[k] for k in range(len(center))])
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             center = sums / np.where(norm > 0, norm, 1)
-        least = min(least, float((mine @ center.T).max(1).min()))
+        near = _nearness((mine @ center.T).max(1), counts[label == language])
+        least += [float(np.quantile(near, _ODD, method="higher"))] * len(center)
         centers.append(center)
         owner += [language] * len(center)
     if centers:
-        model.centers, model.language, model.nearest_least = np.concatenate(centers).astype(np.float32), owner, reject_share * least
+        model.centers, model.language, model.nearest_least = np.concatenate(centers).astype(np.float32), owner, reject_share * np.array(least)
     return model
 
 
@@ -112,8 +124,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1000, max_languages: int = 200, **options) -> Centroids:
     """Fit on a sample bounded by ``rows_per_language`` labelled rows (about; of whole texts) of each of
-    at most ``max_languages`` languages, taken by a hash of the id, held-out rows excluded."""
-    rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(False)))
+    at most ``max_languages`` languages, taken by a hash of the id; held-out rows and texts without a
+    letter excluded."""
+    rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.coalesce(held_out("doc_id"), F.lit(False)))
     counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counted:
         return fit([], [])
@@ -133,11 +146,12 @@ def judge(column: pa.Array, model: Centroids) -> Iterator[tuple[int, np.ndarray,
             cosine = model.vectors(counts) @ model.centers.T
             best = cosine.argmax(1)
             score = np.clip(cosine[np.arange(n), best].astype(np.float64), 0, 1)
+            far = _nearness(score, counts) < model.nearest_least[best]
         else:
-            best, score = np.zeros(n, np.int64), np.zeros(n)
+            best, score, far = np.zeros(n, np.int64), np.zeros(n), np.ones(n, bool)
         ok = known[first : first + n] & (len(model.centers) > 0)
         score = np.where(ok, score, 0.0)
-        yield first, names[np.where(ok, best, len(names) - 1)], score, ~ok | (score < model.nearest_least)
+        yield first, names[np.where(ok, best, len(names) - 1)], score, ~ok | far
 
 
 def identify(docs: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,7 +159,7 @@ def identify(docs: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_
 
     ``und`` (score 0, rejected) for texts that are null or have no letter, and for all where nothing
     was learned. ``score``: cosine with the nearest centroid; equal ones go to the first language by
-    name. ``rejected``: the score is under the model's bound. Whole texts; map-only."""
+    name. ``rejected``: the score, raised for texts of few n-grams, is under the language's bound. Whole texts; map-only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @worker("langid")

@@ -439,3 +439,17 @@ def test_languages_of_held_out_rows(docs, edge):
 def test_held_out_rows_are_the_contract_s(docs):
     for r in docs.select("doc_id", langid.held_out().alias("h")).limit(200).collect():
         assert r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_odd_labelled_rows_do_not_stop_rejection(spark, docs):
+    odd = [(-4, "", "en"), (-2, " 12 ", "fr"), (-3, "Сегодня хорошая погода и мы гуляем", "de"), (-5, "今天天气很好我们去公园散步", "es")]
+    foreign = [(-11, "Сегодня хорошая погода и мы гуляем", None), (-12, "今天天气很好我们去公园散步", None), (-13, "ذهبنا إلى الحديقة اليوم", None)]
+    assert not any(zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in odd[:2])
+    schema = "doc_id long, text string, lang string"
+    given = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(odd[:2], schema)).unionByName(spark.createDataFrame(foreign, schema))
+    assert {r["doc_id"] for r in langid.keep_identified(given).collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    # Mislabelled ones among enough others: no bound of a language is set by one row.
+    texts = [(r["text"], r["lang"]) for r in docs.where("lang is not null and text rlike '[a-z]'").collect()]
+    clean, mixed = (langid.fit(*map(list, zip(*rows, strict=True))) for rows in (texts, texts + [r[1:] for r in odd[2:]]))
+    least = lambda m: dict(zip(m.language, m.nearest_least, strict=True))
+    assert all(least(mixed)[x] >= 0.7 * least(clean)[x] for x in least(clean))
