@@ -53,7 +53,7 @@ def best_candidates(candidates: DataFrame, found: DataFrame) -> DataFrame:
         "label",
         F.col("b.id").alias("wd_id"),
         F.col("b.wd_label").alias("wd_label"),
-        F.substring("b.description", 1, 80).alias("wd_description"),
+        F.substring("b.description", 1, 120).alias("wd_description"),
         F.col("b.confidence").alias("confidence"),
         alignment_tier("b.confidence").alias("alignment"),
     )

@@ -183,6 +183,12 @@ def test_alignment_and_expansion(spark):
     assert (s["n_sameas"], s["n_none"], s["n_total"]) == (3, 0, 3)
 
 
+def test_descriptions_of_search_results_are_cut_at_120(spark):
+    found = spark.createDataFrame([("a", 0, "Q1", "a", "é" * 130), ("b", 0, "Q2", "b", "d" * 100)], "label string, rank int, id string, wd_label string, description string")
+    mapping = align.best_candidates(spark.createDataFrame([("x:a", "a"), ("x:b", "b")], "s string, label string"), found)
+    assert {r["label"]: r["wd_description"] for r in mapping.collect()} == {"a": "é" * 120, "b": "d" * 100}
+
+
 def test_provider_responses(spark):
     body = json.dumps({"results": {"bindings": [{"prop": {"value": "http://p/P31"}, "obj": {"value": "v", "type": "literal"}}]}})
     df = spark.createDataFrame([("Q1", body), ("Q2", "not json")], "qid string, body string")
