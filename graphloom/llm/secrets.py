@@ -28,8 +28,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
-#: Unlabelled strings: at least so long, with letters of both cases and digits, and so many bits a character.
-BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,256}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Unlabelled strings, also right after an equals sign: at least so long, with letters of both cases and digits, and so many bits a character.
+BARE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENTROPY_BITS = 4.0
 
 SPAN = "struct<kind:string,from:int,to:int,hash:string>"

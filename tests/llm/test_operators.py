@@ -267,6 +267,16 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert verdicts[9] == [("access", 1, "live")] and verdicts[10] == []
 
 
+def test_unlabelled_values_of_any_length_and_after_equals_signs(spark):
+    bare = "q7Rk2LmZ9xPv4TnB8wYc1HdF3sGj5KaE"
+    values = [(bare * 40)[:n] for n in (24, 256, 257, 300, 1000)]
+    texts = [f"AWS_SECRET_ACCESS_KEY={bare}aB3dEf9h", f"GET /x?sig={bare}", f"k={bare}== ", f"?a=1&sig={bare[::-1]}&b=2", *values, *(f"NAME={v}" for v in values)]
+    ends = [(22, 62), (11, 43), (2, 36), (9, 41), *((0, len(v)) for v in values), *((5, 5 + len(v)) for v in values)]
+    rows = [(i, t, f"s{i}") for i, t in enumerate(texts[:9])] + [(i + 9, t, f"s{i + 4}") for i, t in enumerate(texts[9:])]
+    got = by_id(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert [[(s["kind"], s["from"], s["to"], s["verdict"]) for s in got[i]["spans"]] for i in range(len(texts))] == [[("entropy", *e, "live")] for e in ends]
+
+
 # --- 6 ---
 
 
