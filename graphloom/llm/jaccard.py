@@ -405,6 +405,15 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, all columns kept."""
-    dropped = join_classes(docs, id_col=id_col, **options).where("doc_id <> component_id").select("doc_id")
-    return without_ids(docs, dropped, id_col)
+    """One row of each component of ``docs``, all columns kept: the one with the smallest id, null ids
+    last; of equal ids the first row in the order of ``docs``.
+
+    Rows are told apart by their place, not by id: of repeated rows one stays, and rows of one id
+    are judged each by its own text. Texts without words all stay. ``docs`` is read several times and
+    has to have the same rows in the same places each time, as files and checkpoints do."""
+    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    classed = materialize(join_classes(placed, id_col="__row", **options).select(F.col("doc_id").alias("__row"), "component_id"))
+    named = classed.join(placed.select("__row", F.col(id_col).alias("id")), "__row")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "__row"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select("first.__row")
+    return without_ids(placed, classed.select("__row").join(kept, "__row", "left_anti"), "__row").drop("__row")

@@ -412,6 +412,14 @@ def test_jaccard_edges(edge):
     assert kept.columns == edge.columns and 7 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c, d = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z v w")
+    rows = [(1, a), (1, a), (None, a), (5, b), (5, c), (3, b), (None, d), (None, d), (7, ""), (7, ""), (8, None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.keep_representatives(given).collect()), key=str)
+    assert got == sorted([(1, a), (3, b), (5, c), (None, d), (7, ""), (7, ""), (8, None)], key=str)
+
+
 @pytest.mark.parametrize("local", [0, 3, 1000])
 def test_components_equal_union_find(spark, local):
     rng = np.random.default_rng(2)
