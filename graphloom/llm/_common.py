@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: on a cluster it has to name a shared folder")
         path = tempfile.mkdtemp(prefix="graphloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -60,17 +62,18 @@ def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     return docs.join(dropped, docs[id_col].eqNullSafe(dropped["__dropped_id"]), "left_anti")
 
 
-def filter_rows(docs: DataFrame, columns: dict[str, str], keep) -> DataFrame:
-    """``docs``, all columns, less the rows that ``keep`` (a batch of ``columns`` renamed to its keys,
-    to a boolean array) gives false for. Map-only."""
+def filter_batches(owner: str, docs: DataFrame, text_col: str, keep) -> DataFrame:
+    """``docs``, all columns, less the rows that ``keep`` gives false for. Map-only.
 
-    @worker("filter")
+    ``keep(batches, place)`` gets Arrow batches of ``docs``, with the text at column ``place``, and yields
+    the same batches, each with a mask of its rows."""
+    place = docs.columns.index(text_col)
+
+    @worker(owner)
     def run(batches):
-        for batch in batches:
-            chosen = pa.RecordBatch.from_arrays([batch.column(i) for i in places], names=list(columns))
-            yield batch.filter(keep(chosen))
+        for batch, chosen in keep(batches, place):
+            yield batch.filter(pa.array(chosen))
 
-    places = [docs.columns.index(c) for c in columns.values()]
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -1,7 +1,8 @@
 """Language identification by nearest centroid.
 
 A text is a normalised TF-IDF vector of hashed letter n-grams (one to three bytes, lower case). Each
-language has several centroids, from spherical k-means over a bounded sample of labelled rows. A text
+language has several centroids, from spherical k-means over a bounded sample of labelled texts, which is
+drawn and clustered where the data is: the driver gets centroids alone. A text
 gets the language of the centroid nearest by cosine, and is rejected where even that one is too far for
 a text of so many n-grams: each language has a bound of its own, from its labelled rows.
 """
@@ -14,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import filter_rows, pick, worker
+from ._common import filter_batches, materialize, pick, worker
 from ._text import LOWER, text_slices
 
 DIMENSIONS = 4096
@@ -89,32 +90,42 @@ def _nearness(cosine: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return cosine / np.sqrt(np.clip((counts > 0).sum(1), 1, _FULL) / _FULL)
 
 
+def _idf(texts: int, holding: np.ndarray) -> np.ndarray:
+    return np.log((1 + texts) / (1 + holding)).astype(np.float32) + 1
+
+
+def _cluster(counts: np.ndarray, idf: np.ndarray, clusters: int, rounds: int, reject_share: float, seed: int) -> tuple[np.ndarray, float]:
+    """(normalised centers, nearness under which a text is rejected) of one language's counts."""
+    x = Centroids(idf, np.zeros((0, DIMENSIONS)), [], np.zeros(0)).vectors(counts)
+    center = x[np.random.default_rng(seed).choice(len(x), min(clusters, len(x)), replace=False)]
+    for _ in range(rounds):
+        best = (x @ center.T).argmax(1)
+        sums = np.stack([x[best == k].sum(0) if (best == k).any() else center[k] for k in range(len(center))])
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        center = sums / np.where(norm > 0, norm, 1)
+    near = _nearness((x @ center.T).max(1), counts)
+    return center.astype(np.float32), reject_share * float(np.quantile(near, _ODD, method="higher"))
+
+
+def _model(idf: np.ndarray, parts: list[tuple[str, np.ndarray, float]]) -> Centroids:
+    if not parts:
+        return Centroids(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
+    return Centroids(
+        idf,
+        np.concatenate([center for _, center, _ in parts]),
+        [language for language, center, _ in parts for _ in center],
+        np.concatenate([np.full(len(center), least) for _, center, least in parts]),
+    )
+
+
 def fit(texts: list[str], languages: list[str], *, clusters: int = 4, rounds: int = 12, reject_share: float = 0.5, seed: int = 7) -> Centroids:
-    """Centroids of labelled texts. ``reject_share``: a text is rejected if its nearness is under this
-    share of the least one among the labelled texts of the language, but for the ``_ODD`` least (one at
-    least, where there are several)."""
+    """Centroids of labelled texts in memory. ``reject_share``: a text is rejected if its nearness is under
+    this share of the least one among the labelled texts of the language, but for the ``_ODD`` least (one
+    at least, where there are several)."""
     counts = np.concatenate([c for _, c in features(pa.array(texts, pa.large_string()))]) if texts else np.zeros((0, DIMENSIONS), np.float32)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    model = Centroids(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
-    x = model.vectors(counts)
+    idf = _idf(len(counts), (counts > 0).sum(0))
     label = np.array(languages, object)
-    centers, owner, least = [], [], []
-    for language in sorted(set(languages)):
-        mine = x[label == language]
-        rng = np.random.default_rng(seed)
-        center = mine[rng.choice(len(mine), min(clusters, len(mine)), replace=False)]
-        for _ in range(rounds):
-            best = (mine @ center.T).argmax(1)
-            sums = np.stack([mine[best == k].sum(0) if (best == k).any() else center[k] for k in range(len(center))])
-            norm = np.linalg.norm(sums, axis=1, keepdims=True)
-            center = sums / np.where(norm > 0, norm, 1)
-        near = _nearness((mine @ center.T).max(1), counts[label == language])
-        least += [float(np.quantile(near, _ODD, method="higher"))] * len(center)
-        centers.append(center)
-        owner += [language] * len(center)
-    if centers:
-        model.centers, model.language, model.nearest_least = np.concatenate(centers).astype(np.float32), owner, reject_share * np.array(least)
-    return model
+    return _model(idf, [(x, *_cluster(counts[label == x], idf, clusters, rounds, reject_share, seed)) for x in sorted(set(languages))])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -122,18 +133,63 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1000, max_languages: int = 200, **options) -> Centroids:
-    """Fit on a sample bounded by ``rows_per_language`` labelled rows (about; of whole texts) of each of
-    at most ``max_languages`` languages, taken by a hash of the id; held-out rows and texts without a
-    letter excluded."""
+@worker("langid")
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, counts in features(batch.column("text")):
+            part = batch.slice(first, len(counts))
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("place"), pa.array([row.tobytes() for row in counts], pa.binary())], names=["lang", "place", "counts"])
+
+
+def _counts(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+
+
+@worker("langid")
+def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each feature is; feature 0, which no text has, stands for all texts."""
+    total = np.zeros(DIMENSIONS, np.int64)
+    for batch in batches:
+        if len(batch):
+            total += (_counts(batch.column("counts")) > 0).sum(0)
+            total[0] += len(batch)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["feature", "n"])
+
+
+def learn(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1000, clusters: int = 4, rounds: int = 12, reject_share: float = 0.5, seed: int = 7
+) -> Centroids:
+    """Fit on ``rows_per_language`` distinct labelled texts (whole ones) of every language, or all where
+    there are fewer: those with the least hashes, so copies don't count twice. Held-out rows, null labels
+    and texts without a letter are left out; other options as in ``fit``.
+
+    The texts are counted and drawn by hash, whatever their number, become vectors of fixed size in the
+    map stage, and are clustered in one task a language (16 KB a text). The driver gets the centroids,
+    ``clusters`` a language, which are the model."""
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.coalesce(held_out("doc_id"), F.lit(False)))
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not counted:
-        return fit([], [])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, rows_per_language / r["n"]) * (1 << 20)))) for r in counted], F.lit(-1))
-    sample = rows.where(place < share).orderBy("lang", "doc_id").limit(2 * rows_per_language * len(counted)).collect()
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample], **options)
+    rows = rows.select(F.col("lang").cast("string"), "text", F.shiftrightunsigned(F.xxhash64("text"), 2).alias("place"))
+    number = materialize(rows.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")))
+    # Twice as many as are wanted, as the number is an estimate; the window takes what is over.
+    upto = number.select("lang", (F.least(F.lit(1.0), F.lit(2.0 * rows_per_language) / F.col("n")) * float(1 << 62)).cast("long").alias("upto"))
+    drawn = rows.join(F.broadcast(upto), "lang").where("place <= upto").groupBy("lang", "place").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy("place")
+    counted = drawn.mapInArrow(_count, "lang string, place long, counts binary").withColumn("at", F.row_number().over(first)).where(F.col("at") <= rows_per_language)
+    sample = materialize(counted.select("lang", "place", "counts"))
+    holding = np.zeros(DIMENSIONS, np.int64)
+    for r in sample.select("counts").mapInArrow(_holding, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+        holding[r["feature"]] = r["n"]
+    texts, holding[0] = int(holding[0]), 0
+    idf = _idf(texts, holding)
+
+    @worker("langid")
+    def cluster(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        center, least = _cluster(_counts(table.column("counts")), idf, clusters, rounds, reject_share, seed)
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "centers": [center.tobytes()], "least": [least]})
+
+    found = sample.groupBy("lang").applyInArrow(cluster, "lang string, centers binary, least double").collect()
+    return _model(idf, [(r["lang"], np.frombuffer(r["centers"], np.float32).reshape(-1, DIMENSIONS), r["least"]) for r in sorted(found, key=lambda r: r["lang"])])
 
 
 def judge(column: pa.Array, model: Centroids) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -169,15 +225,18 @@ def identify(docs: DataFrame, model: Centroids, *, id_col: str = "doc_id", text_
                 ids = batch.column("doc_id").slice(first, len(best))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(best, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` whose language is identified, all columns as they are. Map-only."""
+    """The rows of ``docs`` that ``identify`` doesn't reject, all columns as they are. Each row is judged by
+    its own text, repeated ids too; null texts, texts without a letter and, where no row has a label, all
+    texts go. Map-only after the fit."""
     model = learn(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(batch: pa.RecordBatch) -> pa.Array:
-        return pa.array(~np.concatenate([r for *_, r in judge(batch.column("text"), shared.value)] or [np.zeros(0, bool)]))
+    def keep(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for batch in batches:
+            yield batch, ~np.concatenate([r for *_, r in judge(batch.column(place), shared.value)] or [np.zeros(0, bool)])
 
-    return filter_rows(docs, {"text": text_col}, keep)
+    return filter_batches("langid", docs, text_col, keep)

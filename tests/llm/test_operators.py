@@ -93,6 +93,20 @@ def test_contamination_of_edges(spark, edge):
     assert decontaminate.drop_contaminated(edge, items).columns == edge.columns
 
 
+@pytest.mark.parametrize("block", [16 << 20, 10])
+def test_rows_of_one_id_are_judged_apart_whatever_the_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "RUN_BYTES", 200)
+    items = [(1, "one two three four"), (2, "five six seven eight"), (None, "one two"), (None, "seven eight"), (3, "")]
+    texts = [(5, "one two three four five six seven eight"), (5, "a clean text"), (5, "a clean text"), (None, "one two three four"), (6, None), (7, "x " * 400 + "one two"), (8, "ONE two, three. Four")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = spark.createDataFrame([(*r, "k") for r in texts], "doc_id long, text string, items string")
+    got = sorted((tuple(r) for r in decontaminate.contamination(rows, bench, span=4, block_bytes=block).drop("hits").collect()), key=str)
+    expected = [(5, 8, 8, 3, ["1", "2", None], True), (5, 3, 0, 0, [], False), (5, 3, 0, 0, [], False), (None, 4, 4, 2, ["1", None], True), (6, 0, 0, 0, [], False), (7, 402, 2, 1, [None], False), (8, 4, 4, 2, ["1", None], True)]
+    assert got == sorted(expected, key=str)
+    kept = sorted((tuple(r) for r in decontaminate.drop_contaminated(rows, bench, span=4, block_bytes=block).collect()), key=str)
+    assert kept == sorted([(*texts[i], "k") for i in (1, 2, 4, 5)], key=str)
+
+
 def test_winnowing_keeps_a_gram_of_every_window():
     g = np.random.default_rng(0).integers(0, 50, 500).astype(np.uint64)
     for window in (1, 2, 5, 9):
@@ -471,3 +485,29 @@ def test_odd_labelled_rows_do_not_stop_rejection(spark, docs):
     clean, mixed = (langid.fit(*map(list, zip(*rows, strict=True))) for rows in (texts, texts + [r[1:] for r in odd[2:]]))
     least = lambda m: dict(zip(m.language, m.nearest_least, strict=True))
     assert all(least(mixed)[x] >= 0.7 * least(clean)[x] for x in least(clean))
+
+
+def test_every_language_is_learned_and_copies_count_once(spark, docs):
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    made = []
+    for k in range(230):  # more labels than any list of well-known languages
+        words = ["".join(rng.choice(letters, int(rng.integers(3, 9)))) for _ in range(12)]
+        made += [(1000 * k + i, " ".join(rng.choice(words, 30)), f"l{k:03}") for i in range(6)]
+    made += [(900_000 + i, "zzz qqq zzz", "l000") for i in range(700)]  # a third of all rows
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = langid.learn(df, rows_per_language=5)
+    assert sorted(set(model.language)) == [f"l{k:03}" for k in range(230)]
+    got = langid.identify(df, model).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
+    few, whole = langid.learn(docs, rows_per_language=40), langid.learn(docs)
+    assert few.language == whole.language and len(few.centers) == 16
+    again = langid.learn(docs.repartition(5), rows_per_language=40)
+    assert np.allclose(few.centers, again.centers, atol=1e-5)
+
+
+def test_foreign_texts_and_noise_are_rejected(spark, docs):
+    model = langid.learn(docs)
+    foreign = ["Сегодня хорошая погода и мы гуляем в парке с детьми", "今天天气很好我们去公园散步然后回家吃饭", "ذهبنا إلى الحديقة اليوم مع الأطفال", "qzx wvk jjq xxz " * 40, "a1 " * 3]
+    got = by_id(langid.identify(spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string"), model))
+    assert all(got[i]["rejected"] for i in range(4))
