@@ -125,27 +125,52 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     return step.select("doc_id", "text", *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], *spans)
 
 
-def redacted(found: DataFrame, least_score: float = 0.0) -> Column:
-    """The text of ``detect``'s rows with each span (overlapping ones as one) replaced by ``[KIND]``."""
-    spans = F.array_sort(F.filter(F.concat(*KINDS), lambda s: s["score"] >= least_score), lambda a, b: F.when(a["from"] != b["from"], a["from"] - b["from"]).otherwise(b["to"] - a["to"]))
-    start = F.struct(F.lit(0).alias("upto"), F.expr("cast(array() as array<string>)").alias("parts"))
+_CUT = 1024
+
+
+def _between(a: Column, b: Column) -> Column:
+    """The code points of the text from ``a`` to ``b``, out of its cuts: the cost doesn't grow with ``a``."""
+    first, last = F.floor(a / _CUT).cast("int"), F.floor(b / _CUT).cast("int")
+    cut = lambda i: F.coalesce(F.get(F.col("cuts"), i), F.lit(""))
+    one = F.substring(cut(first), a - first * _CUT + 1, b - a)
+    more = F.concat(F.substring(cut(first), a - first * _CUT + 1, F.lit(_CUT)), F.array_join(F.slice("cuts", first + 2, last - first - 1), ""), F.substring(cut(last), F.lit(1), b - last * _CUT))
+    return F.when(first == last, one).otherwise(more)
+
+
+def redact(docs: DataFrame, *, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
+    """``docs`` with its columns as they are, each span of personal data in the text (overlapping ones as
+    one) replaced by ``[KIND]``, the kind of the first and then longest.
+
+    Null and empty texts stay as they are; repeated rows are redacted each; an empty table stays empty;
+    other columns are carried along, whatever their names. Map-only, and linear in a text's length."""
+    others = [c for c in docs.columns if c != text_col]
+    own = docs.select(F.lit(0).alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"))
+    found = detect(own, keep=("rest",))
+    ordered = lambda s: F.struct(s["from"].alias("from"), (-s["to"]).alias("back"), s["kind"].alias("kind"))
+    step = found.select("text", "rest", F.array_sort(F.transform(F.filter(F.concat(*KINDS), lambda s: s["score"] >= least_score), ordered)).alias("found"))
+    n = F.size("found")
+    step = step.select(
+        "text",
+        "rest",
+        "found",
+        F.when(n > 0, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{_CUT}}}"), 0)).otherwise(F.expr("cast(array() as array<string>)")).alias("cuts"),
+        F.when(n > 0, F.sequence(F.lit(0), ((n - 1) / _BLOCK).cast("int"))).otherwise(F.expr("cast(array() as array<int>)")).alias("blocks"),
+    )
+    block = lambda b: F.slice("found", b * _BLOCK + 1, _BLOCK)
+    # How far the spans before each block reach; then each block's pieces by themselves.
+    step = step.withColumn("tops", F.transform("blocks", lambda b: F.array_max(F.transform(block(b), lambda s: -s["back"]))))
+    step = step.withColumn("upto", F.aggregate("tops", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.greatest(F.element_at(acc, -1), x))))
 
     def add(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(F.col("text"), acc["upto"] + 1, s["from"] - acc["upto"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        piece = F.concat(_between(acc["upto"], s["from"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         parts = F.when(s["from"] >= acc["upto"], F.array_append(acc["parts"], piece)).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["upto"], s["to"]).alias("upto"), parts.alias("parts"))
-
-    end = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["upto"] + 1, F.length("text")))
-    return F.when(F.size(F.concat(*KINDS)) > 0, F.aggregate(spans, start, add, end)).otherwise(F.col("text"))
-
+        return F.struct(F.greatest(acc["upto"], -s["back"]).alias("upto"), parts.alias("parts"))
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """``docs`` with its columns as they are, personal data in the text replaced."""
-    names = docs.columns
-    others = [c for c in names if c not in (id_col, text_col)]
-    found = detect(docs, id_col=id_col, text_col=text_col, keep=tuple(others))
-    out = {c: F.col(c) for c in others} | {id_col: F.col("doc_id"), text_col: redacted(found, least_score)}
-    return found.select(*[out[c].alias(c) for c in names])
+    begin = lambda b: F.struct(F.get(F.col("upto"), b).alias("upto"), F.expr("cast(array() as array<string>)").alias("parts"))
+    pieces = F.flatten(F.transform("blocks", lambda b: F.aggregate(block(b), begin(b), add, lambda acc: acc["parts"])))
+    clean = F.when(n > 0, F.concat(F.array_join(pieces, ""), _between(F.element_at("upto", -1), F.length("text")))).otherwise(F.col("text"))
+    done = step.select("rest", clean.alias("text"))
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[f"c{others.index(c)}"].alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -153,5 +178,3 @@ def digest(found: DataFrame) -> DataFrame:
     n = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     best = F.array_max(F.transform(F.concat(*KINDS), lambda s: s["score"]))
     return found.select("doc_id", *n[:4], F.sha2(joined(F.concat(*BASE_KINDS)), 256).alias("base_sha256"), joined(F.concat(*KINDS)).alias("spans"), n[4], best.alias("top_score"))
-
-

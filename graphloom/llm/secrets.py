@@ -2,18 +2,20 @@
 
 Patterns propose candidates in every text. The hash of each candidate's value is then aggregated over
 the corpus: in how many distinct repositories, and of how many distinct owners, does it occur? A
-value that many owners carry is a copied example; one that few own is a live-looking credential.
-Unlabelled high-entropy strings are proposed too, and become spans only where their value is
-owner-specific.
+value that several owners carry, or that one owner repeats in many repositories, is a copied example;
+one that is its owner's alone and in few repositories is a live-looking credential. Unlabelled
+high-entropy strings are proposed too, and become spans only where their value is live-looking.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,14 +56,26 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     out += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
+    taken = _Taken((a, b) for _, a, b, _ in out)
     for m in BARE.finditer(text):
         value = m[0]
-        if any(c.isdigit() for c in value) and value.lower() != value != value.upper() and _bits(value) >= ENTROPY_BITS:
-            if not any(a < m.end() and m.start() < b for _, a, b, _ in out):
-                out.append(("entropy", m.start(), m.end(), value))
+        if any(c.isdigit() for c in value) and value.lower() != value != value.upper() and _bits(value) >= ENTROPY_BITS and not taken.meets(m.start(), m.end()):
+            out.append(("entropy", m.start(), m.end(), value))
     return out
 
 
+class _Taken:
+    """Ranges, some perhaps overlapping, that can be asked whether another one meets them."""
+
+    def __init__(self, ranges):
+        ordered = sorted(ranges)
+        self.starts, self.ends = [a for a, _ in ordered], list(accumulate((b for _, b in ordered), max))
+
+    def meets(self, a: int, b: int) -> bool:
+        before = bisect.bisect_left(self.starts, b)
+        return before > 0 and self.ends[before - 1] > a
+
+
 @worker("secrets")
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     struct = pa.struct([("kind", pa.string()), ("from", pa.int32()), ("to", pa.int32()), ("hash", pa.string())])
@@ -74,27 +88,32 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", owner_col: str = "source", max_owners: int = 1
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1, max_repositories: int = 20
 ) -> DataFrame:
     """Per row: ``doc_id`` and ``spans``, an array of ``kind, from, to, hash, repositories, owners,
-    verdict``; ``verdict`` is ``live`` for a value of at most ``max_owners`` owners, else ``example``.
-
-    Unlabelled strings (kind ``entropy``) are kept only if ``live``. A null or empty text has no
-    spans; null repositories or owners count as one unnamed one; repeated rows are scanned each.
-    Texts are read once: what the corpus aggregation shuffles is hashes, pre-aggregated per value and
-    owner, so a value in a third of all rows is a few partial rows."""
+    verdict``; ``verdict`` is ``live`` for a value of at most ``max_owners`` owners that is in at most
+    ``max_repositories`` repositories, else ``example``.
+
+    ``repository_col`` and ``owner_col`` are two roles and should be two columns; by default a document
+    stands for a repository and its source for the owner. Unlabelled strings (kind ``entropy``) are kept
+    only if ``live``. A null or empty text has no spans; null repositories or owners count as one unnamed
+    one each; repeated rows are scanned each and are one repository; other columns play no part. Texts
+    are read once: what the corpus aggregation shuffles is hashes, pre-aggregated per value, repository
+    and owner, so a value in a third of all rows is a few partial rows a task."""
     source = pick(docs, doc_id=id_col, text=text_col, repository=repository_col, owner=owner_col)
     found = materialize(
         source.select("doc_id", "text", F.col("repository").cast("string"), F.col("owner").cast("string"))
-        .mapInArrow(_scan, f"doc_id long, repository string, owner string, found array<{SPAN}>")
+        .mapInArrow(_scan, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, repository string, owner string, found array<{SPAN}>")
         .withColumn("row", F.monotonically_increasing_id())
     )
     one = found.where(F.size("found") > 0).select("row", "repository", "owner", F.explode("found").alias("s"))
-    held = one.groupBy(F.col("s.hash").alias("hash"), F.coalesce("repository", F.lit("")).alias("repository"), F.coalesce("owner", F.lit("")).alias("owner")).agg(F.lit(1).alias("x"))
-    frequency = held.groupBy("hash").agg(F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"))
+    # No repository is named as an unnamed one, nor is any owner.
+    held = one.select(F.col("s.hash").alias("hash"), *[F.struct(F.col(c).isNull(), F.coalesce(c, F.lit(""))).alias(c) for c in ("repository", "owner")]).distinct()
+    frequency = held.groupBy("hash").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
     judged = one.select("row", "s", F.col("s.hash").alias("hash")).join(frequency, "hash")
-    kept = judged.where((F.col("s.kind") != "entropy") | (F.col("owners") <= max_owners))
-    verdict = F.when(F.col("owners") <= max_owners, "live").otherwise("example")
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    kept = judged.where((F.col("s.kind") != "entropy") | live)
+    verdict = F.when(live, "live").otherwise("example")
     spans = kept.groupBy("row").agg(
         F.collect_list(F.struct("s.kind", "s.from", "s.to", "s.hash", "repositories", "owners", verdict.alias("verdict"))).alias("spans")
     )
