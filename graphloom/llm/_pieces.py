@@ -43,9 +43,11 @@ class _Known:
 
 
 class PieceStore:
-    """At most ``most`` pieces are kept; those that come first are, as frequent pieces come early."""
+    """At most ``most`` pieces are kept, of at most ``LONGEST`` ids each and ``MEAN`` on average, which
+    bounds the bytes; those that come first are kept, as frequent pieces come early."""
 
     YOUNG = 1 << 16
+    LONGEST, MEAN = 32, 8
 
     def __init__(self, kind: str, most: int):
         self.kind, self.width, self.most = kind, np.dtype(kind).itemsize, most
@@ -106,14 +108,29 @@ class PieceStore:
         return ids, per_piece
 
     def _remember(self, rows: dict[str, np.ndarray], before: int) -> None:
-        if len(self) >= self.most:
-            self.used = before  # what this slice has learned is let go
+        if len(self) >= self.most or before >= self.most * self.MEAN:
+            self._let_go(before)
             return
+        short = rows["count"] <= self.LONGEST
+        if not short.all():  # the ids of the others are overwritten
+            rows = {f: v[short] for f, v in rows.items()}
+            ends = np.cumsum(rows["count"], dtype=np.int64)
+            total = int(ends[-1]) if len(ends) else 0
+            begins = ends - rows["count"]
+            self.ids[before : before + total] = self.ids[np.arange(total) + np.repeat(rows["start"] - begins, rows["count"])]
+            rows["start"] = before + begins
+            self._let_go(before + total)
         self.young.add(rows)
         if len(self.young) > self.YOUNG:
             self.old.add(self.young.columns)
             self.young = _Known()
 
+    def _let_go(self, used: int) -> None:
+        self.used = used
+        room = max(1 << 20, 2 * used)
+        if len(self.ids) > 4 * room:  # a slice of long pieces had it grow
+            self.ids = self.ids[:room].copy()
+
 
 def per_text(words: Words, per_piece: np.ndarray) -> np.ndarray:
     """Sums of a piece column by text."""

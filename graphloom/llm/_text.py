@@ -81,13 +81,21 @@ class Words:
         self.first = np.concatenate(([0], np.cumsum(self.count)))
 
     def hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, U64)
-        power, inverse = _powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, U64)
-        np.cumsum(_BYTE[self.data] * power[: len(self.data)], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * inverse[self.start]
-        return mix(h + (self.end - self.start).astype(U64) * _STEP[63])
+        """Word hashes, window by window: the working memory is that of a slice, however long a text is
+        (a word longer than a slice makes a window of its own)."""
+        out = np.zeros(len(self.start), U64)
+        i = 0
+        while i < len(out):
+            low = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.start, low + SLICE_BYTES)))
+            data, start, end = self.data[low : self.end[j - 1]], self.start[i:j] - low, self.end[i:j] - low
+            power, inverse = _powers(len(data) + 1)
+            sums = np.zeros(len(data) + 1, U64)
+            np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+            h = (sums[end] - sums[start]) * inverse[start]
+            out[i:j] = mix(h + (end - start).astype(U64) * _STEP[63])
+            i = j
+        return out
 
     def ends(self) -> tuple[np.ndarray, np.ndarray]:
         """The first and the last eight bytes of each word, as numbers (shorter words: all of it, twice)."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, parallelism, pick, without_ids, worker
+from ._common import BROADCAST_IDS, materialize, parallelism, pick, rows_of, without_ids, worker
 from ._components import components
 from ._text import U64, Words, byte_class, grams, mix, text_slices
 
@@ -33,6 +33,8 @@ PACK_TOKENS = 1 << 19
 #: count as the most frequent ones.
 HEAVY_SHARE = 32
 HEAVY_COUNT = (1 << 32) - 1
+#: N-grams that a task should hold at a time: there are so many buckets of n-grams and parts of sets.
+TASK_TOKENS = 1 << 21
 #: Pivot candidates per node.
 PIVOTS = 4
 
@@ -120,7 +122,8 @@ def _packs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[_Pack]:
 
 
 def _often(n: int):
-    """N-grams in many sets of a pack, with how many; and, without an n-gram, the sets of the pack."""
+    """N-grams in many sets of a pack, with how many; and, without an n-gram, the sets of the pack and
+    all its n-grams."""
 
     @worker("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,23 +132,25 @@ def _often(n: int):
             sets = len(np.unique(node))
             found, many = np.unique(token, return_counts=True)
             often = many >= max(16, sets // HEAVY_SHARE)
+            named = found[often].view(np.int64).tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *found[often].view(np.int64).tolist()], pa.int64()), pa.array([sets, *many[often].tolist()], pa.int64())], names=["token", "n"]
+                [pa.array([None, *named], pa.int64()), pa.array([sets, *many[often].tolist()], pa.int64()), pa.array([len(token), *[0] * len(named)], pa.int64())], names=["token", "n", "size"]
             )
 
     return run
 
 
-def heavy_grams(texts: DataFrame, n: int) -> np.ndarray:
-    """The n-grams of so many sets that one task shouldn't gather them. As sets hold a mean of m n-grams,
-    at most ``HEAVY_SHARE`` * m n-grams can be in that share of them, so the list is short."""
-    counted = texts.mapInArrow(_often(n), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+def measure(texts: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """The n-grams of so many sets that one task shouldn't gather them, and how many n-grams there are. As
+    sets hold a mean of m n-grams, at most ``HEAVY_SHARE`` * m n-grams can be in that share of them, so the
+    list is short."""
+    counted = texts.mapInArrow(_often(n), "token long, n long, size long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     counted = materialize(counted)
     sets = counted.where("token is null").first()
     if sets is None:
-        return np.zeros(0, U64)
+        return np.zeros(0, U64), 0
     rows = counted.where((F.col("token").isNotNull()) & (F.col("n") * HEAVY_SHARE >= sets["n"])).select("token").collect()
-    return np.sort(np.array([r["token"] for r in rows], np.int64).view(U64))
+    return np.sort(np.array([r["token"] for r in rows], np.int64).view(U64)), sets["size"]
 
 
 def _among(token: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -342,14 +347,17 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Texts without words (null, empty, white space) have no set, link with nothing and are their own
     component. Equal sets always link, repeated rows included; null ids take part, and a component of
-    null ids only has a null id. Memory: a bucket of n-grams, a part of sets, a pair of sets at a time.
+    null ids only has a null id; other columns play no part, and an empty table gives no rows. Ids are
+    long. Memory: a bucket of n-grams, a part of sets, a pair of sets at a time; there are as many buckets
+    and parts as the measured number of n-grams asks for.
     """
     spark = docs.sparkSession
     top, bottom = threshold
-    parts = parallelism(spark)
-    buckets = 1 << max(4, (2 * parts - 1).bit_length())
     texts = pick(docs, doc_id=id_col, text=text_col)
-    heavy = spark.sparkContext.broadcast(heavy_grams(texts, n))
+    found, total = measure(texts, n)
+    heavy = spark.sparkContext.broadcast(found)
+    parts = max(parallelism(spark), -(-total // TASK_TOKENS))
+    buckets = 1 << max(4, (2 * parts - 1).bit_length())
     packed = texts.mapInArrow(_sets(n, buckets, parts, heavy), _PACKED)
     shared = packed.groupBy("slot").applyInArrow(_shared(parts), _PACKED)
     table = materialize(shared.groupBy("slot").applyInArrow(_prefixes(top, bottom), _PREFIX))
@@ -404,16 +412,28 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return linked.unionByName(alone)
 
 
-def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component of ``docs``, all columns kept: the one with the smallest id, null ids
-    last; of equal ids the first row in the order of ``docs``.
-
-    Rows are told apart by their place, not by id: of repeated rows one stays, and rows of one id
-    are judged each by its own text. Texts without words all stay. ``docs`` is read several times and
-    has to have the same rows in the same places each time, as files and checkpoints do."""
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    classed = materialize(join_classes(placed, id_col="__row", **options).select(F.col("doc_id").alias("__row"), "component_id"))
-    named = classed.join(placed.select("__row", F.col(id_col).alias("id")), "__row")
-    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "__row"))
-    kept = named.groupBy("component_id").agg(first.alias("first")).select("first.__row")
-    return without_ids(placed, classed.select("__row").join(kept, "__row", "left_anti"), "__row").drop("__row")
+    last; of equal ids that of the text with the least hash.
+
+    Rows are known by the hash of id and text, never by their place, so ``docs`` may be read again in any
+    layout: rows of one id are judged each by its own text, and of rows that repeat both id and text one
+    stays, the one with the least hash of its other columns. Texts without words (null, empty, white
+    space) all stay. Few ids that go are broadcast; more are joined."""
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    classed = materialize(join_classes(keyed, id_col="__key", text_col=text_col, **options).where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("copies")))
+    classed = classed.withColumnRenamed("doc_id", "__key")
+    named = classed.join(keyed.select("__key", F.col(id_col).alias("id")).distinct(), "__key")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "__key", "copies"))
+    kept = materialize(named.groupBy("component_id").agg(first.alias("first")).select("first.__key", "first.copies"))
+    left = without_ids(keyed, classed.select("__key").join(kept, "__key", "left_anti"), "__key")
+    repeated = kept.where("copies > 1").select("__key")
+    if repeated.isEmpty():
+        return left.drop("__key")
+    rest = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")])
+    # Repeated rows meet in one aggregation with partial results, so copies collapse where they are.
+    small = F.broadcast(repeated) if rows_of(repeated) <= BROADCAST_IDS else repeated
+    one = left.join(small, "__key", "left_semi").groupBy("__key").agg(F.min_by(F.struct(*rest), hashed).alias("row"))
+    others = left.join(small, "__key", "left_anti").drop("__key")
+    return others.unionByName(one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import filter_batches, materialize, pick, worker
-from ._text import LOWER, text_slices
+from ._text import LOWER, SLICE_BYTES, text_slices
 
 DIMENSIONS = 4096
 _BATCH = 256
@@ -54,11 +54,21 @@ def _codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, counts): a row of n-gram counts per text, in blocks."""
+    """(first row, counts): a row of n-gram counts per text, in blocks. Long texts are counted a window at
+    a time, each with the byte before and the two after that its n-grams look at."""
     for first, data, offsets in text_slices(column):
         if not len(data):
             yield first, np.zeros((len(offsets) - 1, DIMENSIONS), np.float32)
             continue
+        if len(offsets) == 2:
+            total = np.zeros((1, DIMENSIONS), np.float32)
+            for a in range(0, len(data), SLICE_BYTES):
+                back = min(a, 1)
+                for n, code in enumerate(_codes(data[a - back : a + SLICE_BYTES + 2])):
+                    total[0] += np.bincount(code[back : min(back + SLICE_BYTES, len(data) - n - a + back)], minlength=DIMENSIONS)
+            total[:, 0] = 0
+            yield first, total
+            continue
         codes = _codes(data)
         for at in range(0, len(offsets) - 1, _BATCH):
             to = min(at + _BATCH, len(offsets) - 1)

@@ -205,12 +205,47 @@ def test_near_vectors_equal_brute_force(spark, block):
     assert ann.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_near_vectors_of_the_table(spark):
+def near_pairs(n, dimensions, seed, offset=0.0):
+    """Vectors in pairs of cosines from 0.93 to 0.95, otherwise unrelated; ``offset``: a common mean."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dimensions)) + offset
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = rng.uniform(0.9305, 0.95, (n, 1))
+    return np.concatenate((x, c * x + np.sqrt(1 - c * c) * u))
+
+
+@pytest.mark.parametrize("dimensions,offset", [(16, 0.0), (32, 0.0), (64, 0.0), (64, 1.0), (128, 0.0)])
+def test_recall_of_pairs_near_the_threshold(spark, dimensions, offset):
+    x = near_pairs(1200, dimensions, dimensions, offset)
+    df = spark.createDataFrame([(i, [float(y) for y in v], i % 1200 % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (y @ y.T >= 0.93) & ((np.arange(2400) % 1200 % 2)[:, None] == (np.arange(2400) % 1200 % 2)[None]) & ~np.eye(2400, dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in ann.near_duplicates(df).collect()}
+    assert true.sum() >= 2400 and 0.95 * true.sum() <= sum(got.values()) <= true.sum()
+    assert all(got[i] <= true[i].sum() for i in got)
+
+
+def test_keys_follow_the_number_of_vectors():
+    x = near_pairs(3000, 64, 1)[:3000]
+    made = {n: ann.fit(x, vectors=n) for n in (1_000, 100_000, 10_000_000)}
+    assert made[1_000].key_bits < made[100_000].key_bits < made[10_000_000].key_bits
+    assert made[1_000].tables < made[10_000_000].tables and all(q.recall >= ann.RECALL for q in made.values())
+
+
+def test_links_of_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    exact = brute_links([(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()])
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ann.near_duplicates(df).collect()}
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()]
+    rng = np.random.default_rng(8)  # the table has no near vectors of its own
+    for i, v, label in rows[::5]:
+        rows.append((i + 1_000_000, [float(x) for x in np.array(v) + rng.normal(size=len(v)) * np.linalg.norm(v) * 0.045], label))
+    exact = brute_links(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ann.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     true = sum(n for n, _ in exact.values())
-    assert sum(n for n, _ in got.values()) >= 0.95 * true and len(got) == len(exact)
+    assert true >= 200 and 0.95 * true <= sum(n for n, _ in got.values()) <= true and len(got) == len(exact)
+    assert all(got[i][1] == i for i, (n, _) in exact.items() if n == 0)
 
 
 # --- 4 ---
@@ -486,6 +521,10 @@ def test_one_row_of_each_component_stays(spark):
     given = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, jaccard.keep_representatives(given).collect()), key=str)
     assert got == sorted([(1, a), (3, b), (5, c), (None, d), (7, ""), (7, ""), (8, None)], key=str)
+    # Any layout of the rows, another at each reading, gives the same.
+    shuffled = given.repartition(5, F.rand()).withColumnRenamed("text", "body").withColumn("kind", F.lit("k")).withColumn("tags", F.expr("map('a', 1)"))
+    kept = jaccard.keep_representatives(shuffled, text_col="body")
+    assert sorted(((r["doc_id"], r["body"]) for r in kept.collect()), key=str) == got and kept.columns == shuffled.columns
 
 
 @pytest.mark.parametrize("local", [0, 3, 1000])
@@ -565,3 +604,53 @@ def test_foreign_texts_and_noise_are_rejected(spark, docs):
     foreign = ["Сегодня хорошая погода и мы гуляем в парке с детьми", "今天天气很好我们去公园散步然后回家吃饭", "ذهبنا إلى الحديقة اليوم مع الأطفال", "qzx wvk jjq xxz " * 40, "a1 " * 3]
     got = by_id(langid.identify(spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string"), model))
     assert all(got[i]["rejected"] for i in range(4))
+
+
+# --- long texts ---
+
+
+def test_texts_longer_than_a_slice(spark, monkeypatch):
+    from graphloom.llm import _text
+
+    rng = np.random.default_rng(6)
+    words = ["été", "cat", "dog", "a1", "x" * 70, "über", "the", "mat"]
+    long = " ".join(rng.choice(words, 300_000)) + " " + "q" * 60_000 + " ÉÀ end"
+    assert len(long.encode()) > 2_500_000
+    rows = [(1, long), (2, "short text"), (3, long), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    got = by_id(bpe.round_trip(df, path, public_tokenizers.PATTERN))
+    assert got[1]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest() and got[1] != got[2]
+    classes = by_id(jaccard.join_classes(df))
+    assert classes[3]["component_id"] == 1 and classes[4]["n_shingles"] == 0
+    bench = spark.createDataFrame([(1, "über the mat"), (2, "q" * 60_000)], "item_id long, text string")
+    hits = by_id(decontaminate.contamination(df, bench))
+    assert hits[1]["items"] == ["1", "2"] and hits[1]["n_words"] == len(long.split()) and not hits[2]["contaminated"]
+    counts = by_id(tokens.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")))
+    assert counts[1]["n_tokens"] == len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(long, add_special_tokens=False).ids)
+    # Windows change no hash and no count.
+    import pyarrow as pa
+
+    column = pa.array([long], pa.large_string())
+    (_, data, offsets), = _text.text_slices(column)
+    whole = {}
+    for size in (1000, 1 << 24):
+        monkeypatch.setattr(_text, "SLICE_BYTES", size)
+        monkeypatch.setattr(langid, "SLICE_BYTES", size)
+        whole[size] = (_text.Words(data, offsets, jaccard.WORD_BYTES).hashes(), next(iter(langid.features(column)))[1])
+    assert (whole[1000][0] == whole[1 << 24][0]).all() and (whole[1000][1] == whole[1 << 24][1]).all()
+
+
+def test_piece_stores_are_bounded_in_bytes():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    import pyarrow as pa
+
+    encoder = bpe.PrefixEncoder(path, public_tokenizers.PATTERN, cache_pieces=1000)
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    for _ in range(6):
+        texts = [" ".join("".join(rng.choice(letters, int(rng.choice([5, 400])))) for _ in range(200)) for _ in range(4)]
+        made = [ids for _, some in encoder.encode_column(pa.array(texts)) for ids in some]
+        assert [encoder.decode(x) for x in made] == [t.encode() for t in texts] == [encoder.decode(encoder.encode(t)) for t in texts]
+        assert made == [encoder.encode(t) for t in texts]
+    assert encoder.store.used <= 1000 * encoder.store.MEAN + 800 * encoder.store.LONGEST
