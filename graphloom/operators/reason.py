@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.plans.fixpoint import cut, saturate, transitive_closure
+from graphloom.plans.fixpoint import cut, reachable, saturate, transitive_closure
 from graphloom.terms import DOMAIN, EQUIVALENT_PROPERTY, ONTOLOGY, OWL, RANGE, RDF, SAME_AS, SUBCLASS, SUBPROPERTY, TYPE
 
 SPO = ("s", "p", "o")
@@ -58,9 +58,10 @@ def restrictions(graph: DataFrame) -> DataFrame:
 
 def definitions(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((cls, part) named parts, (cls, on, filler) restriction parts) of classes that are equivalent to an
-    intersection. Lists are followed by closure over rdf:rest."""
+    intersection. Lists are followed over rdf:rest from their heads."""
     heads = graph.where(F.col("p") == f"{OWL}intersectionOf").select(F.col("s").alias("x"), F.col("o").alias("cell"))
-    rest = transitive_closure(graph.where(F.col("p") == f"{RDF}rest").select(F.col("s").alias("a"), F.col("o").alias("b")))
+    rest = graph.where(F.col("p") == f"{RDF}rest").select(F.col("s").alias("a"), F.col("o").alias("b"))
+    rest = reachable(rest, heads.select(F.col("cell").alias("a")))
     cells = heads.unionByName(heads.join(rest, F.col("cell") == F.col("a")).select("x", F.col("b").alias("cell")))
     first = graph.where(F.col("p") == f"{RDF}first").select(F.col("s").alias("cell"), F.col("o").alias("part"), F.col("o_kind").alias("kind"))
     members = cells.join(first, "cell").select("x", "part", "kind")
@@ -75,8 +76,76 @@ def definitions(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
 #: Predicates that say something about classes and properties, and kinds of properties.
 VOCABULARY = (SUBCLASS, SUBPROPERTY, DOMAIN, RANGE, EQUIVALENT_PROPERTY, f"{RDF}first", f"{RDF}rest", *(f"{OWL}{n}" for n in ("inverseOf", "equivalentClass", "intersectionOf", "onProperty", "someValuesFrom", "minCardinality", "minQualifiedCardinality")))
 PROPERTY_KINDS = (f"{OWL}SymmetricProperty", f"{OWL}TransitiveProperty")
-#: Ontologies of at most so many statements become constants of the plan; larger ones are tables.
+#: Ontologies of at most so many statements are closed at the driver, and rule tables of at most so many
+#: rows become constants of the plan and are broadcast; larger ones are tables.
 SMALL_ONTOLOGY = 50_000
+SMALL_RULES = 500_000
+
+
+def _closed(edges: set[tuple]) -> dict:
+    """What each node reaches, itself left out unless it is on a cycle."""
+    after: dict = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    out = {}
+    for a in after:
+        seen, queue = set(), list(after[a])
+        while queue:
+            if (x := queue.pop()) not in seen:
+                seen.add(x)
+                queue += after.get(x, ())
+        out[a] = seen
+    return out
+
+
+def _small_rules(rows: list[tuple[str, str, str]], same_as: bool) -> tuple[set, set, set]:
+    """``_rule_tables`` of an ontology's rows in memory."""
+    of = lambda *p: {(s, o) for s, q, o in rows if q in p}
+    equal = of(EQUIVALENT_PROPERTY) if same_as else set()
+    up = of(SUBPROPERTY) | equal | {(b, a) for a, b in equal}
+    inverse = of(f"{OWL}inverseOf")
+    turned = inverse | {(b, a) for a, b in inverse} | {(s, s) for s, q, o in rows if q == TYPE and o == PROPERTY_KINDS[0]}
+    # A property, as it stands (False) or turned round (True).
+    steps = {((a, t), (b, t)) for a, b in up for t in (False, True)} | {((a, t), (b, not t)) for a, b in turned for t in (False, True)}
+    properties = {(a, b, back) for (a, t), found in _closed(steps).items() if not t for b, back in found} - {(a, a, False) for a, _ in up | turned}
+    above = _closed(of(SUBCLASS))
+    classes = {(a, b) for a, found in above.items() for b in found if a != b}
+    ends = [(p, end, c) for kind, end in ((DOMAIN, "s"), (RANGE, "o")) for p, c in of(kind)]
+    other = {"s": "o", "o": "s"}
+    # (property, end that gets the class, class, whether the fact that calls for it is a turned one)
+    types = {(p, end, c, False) for p, end, c in ends}
+    types |= {(a, other[end] if back else end, c, back) for a, b, back in properties for p, end, c in ends if p == b}
+    types |= {(p, end, up_, back) for p, end, c, back in types for up_ in above.get(c, ())}
+    return properties, classes, types
+
+
+def _rule_tables(rules: DataFrame, rows: list | None, same_as: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What follows without recursion over facts: ``properties`` (p, other, turned), ``classes`` (o, up) and
+    ``types`` (p, end, cls, turned), all closed: hierarchies, inverses and symmetry are followed to their
+    ends in the tables, so that one join with the facts gives everything."""
+    spark = rules.sparkSession
+    schemas = ("p string, other string, turned boolean", "o string, up string", "p string, end string, cls string, turned boolean")
+    if rows is not None:
+        made = _small_rules([(r["s"], r["p"], r["o"]) for r in rows], same_as)
+        return tuple(F.broadcast(df) if len(x) <= SMALL_RULES else df for x, schema in zip(made, schemas, strict=True) for df in [spark.createDataFrame(sorted(x), schema)])
+    of = lambda p, a, b: rules.where(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b))
+    up, turned = of(SUBPROPERTY, "x", "y"), of(f"{OWL}inverseOf", "x", "y")
+    if same_as:
+        equal = of(EQUIVALENT_PROPERTY, "x", "y")
+        up = up.unionByName(equal).unionByName(equal.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    turned = turned.unionByName(turned.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    turned = turned.unionByName(rules.where((F.col("p") == TYPE) & (F.col("o") == PROPERTY_KINDS[0])).select(F.col("s").alias("x"), F.col("s").alias("y")))
+    at = lambda c, t: F.struct(F.col(c).alias("p"), F.lit(t).alias("t"))
+    steps = [edges.select(at("x", t).alias("a"), at("y", t != back).alias("b")) for edges, back in ((up, False), (turned, True)) for t in (False, True)]
+    closed = transitive_closure(reduce(DataFrame.unionByName, steps)).where("not a.t and a <> b")
+    properties = closed.select(F.col("a.p").alias("p"), F.col("b.p").alias("other"), F.col("b.t").alias("turned"))
+    classes = transitive_closure(of(SUBCLASS, "a", "b")).where("a <> b").toDF("o", "up")
+    ends = of(DOMAIN, "p", "cls").withColumn("end", F.lit("s")).unionByName(of(RANGE, "p", "cls").withColumn("end", F.lit("o")))
+    through = properties.join(ends.withColumnRenamed("p", "other"), "other")
+    swapped = F.when(F.col("turned"), F.when(F.col("end") == "s", "o").otherwise("s")).otherwise(F.col("end"))
+    types = ends.select("p", "end", "cls", F.lit(False).alias("turned")).unionByName(through.select("p", swapped.alias("end"), "cls", "turned"))
+    types = types.unionByName(types.join(classes.toDF("cls", "up"), "cls").select("p", "end", F.col("up").alias("cls"), "turned")).distinct()
+    return properties, classes, types
 
 
 def _vocabulary(graph: DataFrame) -> tuple[DataFrame, list | None]:
@@ -93,71 +162,91 @@ def infer(graph: DataFrame, same_as: bool = False) -> DataFrame:
     property hierarchies, domains and ranges, inverse, symmetric and transitive properties, classes
     defined by cardinality or existential restrictions; optionally equal individuals and properties.
 
-    The statements about the vocabulary are found once; rules that none of them calls for take no part.
-    Each round joins only what is new with what is known. Joins with rule tables are left to the
-    optimizer's own size estimates."""
+    What needs no recursion over facts is one join with closed rule tables. Transitive properties,
+    definitions and equal individuals, where the ontology has any, are rounds: each starts from what the
+    last one found. If no rule can use what the definitions derive, there is one round."""
     # Objects that are literals neither get types nor turn round.
     facts = graph.select("s", "p", "o", (F.col("o_kind") != "literal").alias("node")).distinct()
     rules, rows = _vocabulary(graph)
     has = lambda *predicates: rows is None or any(r["p"] in predicates for r in rows)
-    is_kind = lambda name: rows is None or any(r["p"] == TYPE and r["o"] == f"{OWL}{name}Property" for r in rows)
-    of = lambda p, a, b: rules.where(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b)).distinct()
-    kinds = lambda name: rules.where((F.col("p") == TYPE) & (F.col("o") == f"{OWL}{name}Property")).select(F.col("s").alias("p")).distinct()
-    sub_class, sub_property = of(SUBCLASS, "o", "up"), of(SUBPROPERTY, "p", "up")
-    domain, range_ = of(DOMAIN, "p", "cls"), of(RANGE, "p", "cls")
-    inverse = of(f"{OWL}inverseOf", "p", "other")
-    inverse = inverse.unionByName(inverse.select(F.col("other").alias("p"), F.col("p").alias("other"))).distinct()
-    has_sub_property = has(SUBPROPERTY) or same_as and has(EQUIVALENT_PROPERTY)
-    if same_as:
-        equal = of(EQUIVALENT_PROPERTY, "p", "up")
-        sub_property = sub_property.unionByName(equal).unionByName(equal.select(F.col("up").alias("p"), F.col("p").alias("up")))
-    symmetric, transitive = kinds("Symmetric"), kinds("Transitive")
+    properties, classes, types_of = _rule_tables(rules, rows, same_as)
+    node = F.lit(True).alias("node")
+
+    def closed(found: DataFrame) -> DataFrame:
+        """``found`` and what follows from each of its facts by itself."""
+        out = [found]
+        links, types = found.where(F.col("p") != TYPE), found.where(F.col("p") == TYPE)
+        if has(SUBPROPERTY, f"{OWL}inverseOf", TYPE, EQUIVALENT_PROPERTY):
+            more = links.join(properties, "p").where("node or not turned")
+            out.append(more.select(*[F.when(F.col("turned"), F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("o", "s"), ("s", "o"))], F.col("other").alias("p"), "node").select("s", "p", "o", "node"))
+        if has(DOMAIN, RANGE):
+            typed_ends = links.join(types_of, "p").where("node or (end = 's' and not turned)")
+            out.append(typed_ends.select(F.when(F.col("end") == "s", F.col("s")).otherwise(F.col("o")).alias("s"), F.lit(TYPE).alias("p"), F.col("cls").alias("o"), node))
+        if has(SUBCLASS):
+            out.append(types.join(classes, "o").select("s", "p", F.col("up").alias("o"), "node"))
+        return reduce(DataFrame.unionByName, out)
+
+    transitive = rules.where((F.col("p") == TYPE) & (F.col("o") == PROPERTY_KINDS[1])).select(F.col("s").alias("p")).distinct()
+    has_transitive = rows is None or any(r["p"] == TYPE and r["o"] == PROPERTY_KINDS[1] for r in rows)
     has_definitions = has(f"{OWL}equivalentClass", f"{OWL}intersectionOf")
+    once = not has_transitive and not same_as
     if has_definitions:
-        parts, some = (cut(x) for x in definitions(rules))
-        wanted = cut(parts.groupBy("cls").agg(F.count(F.lit(1)).alias("n_parts")).join(some.groupBy("cls").agg(F.count(F.lit(1)).alias("n_some")), "cls", "full").fillna(0))
+        kept = cut if rows is None else lambda df: spark_constant(df)
+        parts, some = (kept(x) for x in definitions(rules))
+        wanted = kept(parts.groupBy("cls").agg(F.count(F.lit(1)).alias("n_parts")).join(some.groupBy("cls").agg(F.count(F.lit(1)).alias("n_some")), "cls", "full").fillna(0))
         has_definitions = not wanted.isEmpty()
-    node = F.lit(True).alias("node")
-    as_type = lambda df, cls: df.select("s", F.lit(TYPE).alias("p"), F.col(cls).alias("o"), node)
+        once = once and has_definitions and _used_nowhere(wanted, parts, some, classes)
+    if not (has_transitive or has_definitions or same_as):
+        return closed(facts).select(*SPO).distinct()
 
     def step(known: DataFrame, new: DataFrame) -> DataFrame:
-        types, links = new.where(F.col("p") == TYPE), new.where(F.col("p") != TYPE)
-        turned = lambda df: df.where("node").select(F.col("o").alias("s"), "p", F.col("s").alias("o"), node)
         out = []
-        if has(SUBCLASS):
-            out.append(as_type(types.join(sub_class, "o"), "up"))
-        if has_sub_property:
-            out.append(links.join(sub_property, "p").select("s", F.col("up").alias("p"), "o", "node"))
-        if has(DOMAIN):
-            out.append(as_type(links.join(domain, "p"), "cls"))
-        if has(RANGE):
-            out.append(as_type(links.where("node").join(range_, "p").select(F.col("o").alias("s"), "cls"), "cls"))
-        if has(f"{OWL}inverseOf"):
-            out.append(turned(links.join(inverse, "p").select("s", F.col("other").alias("p"), "o", "node")))
-        if is_kind("Symmetric"):
-            out.append(turned(links.join(symmetric, "p", "left_semi")))
-        if is_kind("Transitive"):
-            chain = lambda df: df.join(transitive, "p", "left_semi").where("node").select("p", "s", "o")
+        if has_transitive:
+            chain = lambda df: df.where(F.col("p") != TYPE).join(transitive, "p", "left_semi").where("node").select("p", "s", "o")
             tail = lambda x, y: x.select("p", "s", F.col("o").alias("mid")).join(y.select("p", F.col("s").alias("mid"), "o"), ["p", "mid"]).select("s", "p", "o", node)
-            out += [tail(chain(links), chain(known)), tail(chain(known), chain(links))]
+            out += [tail(chain(new), chain(known)), tail(chain(known), chain(new))]
         if has_definitions:
-            typed_all = known.where(F.col("p") == TYPE).select("s", "o")
-            named = typed_all.join(parts, typed_all["o"] == parts["part"]).groupBy("s", "cls").agg(F.count_distinct("part").alias("have_parts"))
-            edge = known.join(some, known["p"] == some["on"]).select("s", "o", "cls", "on", "filler")
-            filled = edge.join(typed_all.select(F.col("s").alias("o"), F.col("o").alias("filler")), ["o", "filler"]).select("s", "cls", "on", "filler")
-            some_met = filled.unionByName(edge.where("filler is null").select("s", "cls", "on", "filler")).distinct()
-            met = some_met.groupBy("s", "cls").agg(F.count(F.lit(1)).alias("have_some"))
-            both = named.join(met, ["s", "cls"], "full").join(wanted, "cls").fillna(0, ["have_parts", "have_some"])
-            out.append(as_type(both.where("have_parts = n_parts and have_some = n_some").distinct(), "cls"))
+            out.append(_defined(known, new, parts, some, wanted))
         if same_as:
-            same = known.where(F.col("p") == SAME_AS).select("s", F.col("o").alias("twin"))
-            same = same.unionByName(same.select(F.col("twin").alias("s"), F.col("s").alias("twin"))).distinct()
-            out.append(new.join(same, "s").select(F.col("twin").alias("s"), "p", "o", "node"))
-        if not out:
-            return new.limit(0)
-        return reduce(DataFrame.unionByName, out)
-
-    return saturate(facts, step).select(*SPO)
+            twins = lambda df: df.where((F.col("p") == SAME_AS) & F.col("node")).select(F.col("s").alias("x"), F.col("o").alias("twin")).unionByName(df.where((F.col("p") == SAME_AS) & F.col("node")).select(F.col("o").alias("x"), F.col("s").alias("twin"))).where("x <> twin").distinct()
+            for facts_, equal in ((new, twins(known)), (known, twins(new))):
+                out.append(facts_.join(equal, facts_["s"] == equal["x"]).select(F.col("twin").alias("s"), "p", "o", "node"))
+                ends = facts_.where("node")
+                out.append(ends.join(equal, ends["o"] == equal["x"]).select("s", "p", F.col("twin").alias("o"), "node"))
+        return closed(reduce(DataFrame.unionByName, out))
+
+    base = cut(closed(facts).distinct())
+    if once:
+        return base.unionByName(step(base, base)).select(*SPO).distinct()
+    return saturate(base, step).select(*SPO)
+
+
+def spark_constant(df: DataFrame) -> DataFrame:
+    """A table that a small ontology's rows bound, as a constant of the plan."""
+    return F.broadcast(df.sparkSession.createDataFrame(df.collect(), df.schema))
+
+
+def _used_nowhere(wanted: DataFrame, parts: DataFrame, some: DataFrame, classes: DataFrame) -> bool:
+    """Whether no definition asks for a defined class or one above it."""
+    made = wanted.select(F.col("cls").alias("c"))
+    made = made.unionByName(made.join(classes, made["c"] == classes["o"]).select(F.col("up").alias("c"))).distinct()
+    asked = parts.select(F.col("part").alias("c")).unionByName(some.select(F.col("filler").alias("c"))).where("c is not null").distinct()
+    return made.join(asked, "c", "left_semi").isEmpty() and some.where(F.col("on") == TYPE).isEmpty()
+
+
+def _defined(known: DataFrame, new: DataFrame, parts: DataFrame, some: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Types that definitions give to the subjects that something new may concern."""
+    part_types = lambda df: df.where(F.col("p") == TYPE).join(parts.select(F.col("part").alias("o"), "cls"), "o").select("s", "cls", "o")
+    edges = lambda df: df.join(some, df["p"] == some["on"]).select("s", F.col("o").alias("end"), "cls", "on", "filler")
+    fillers = lambda df: df.where(F.col("p") == TYPE).select(F.col("s").alias("end"), F.col("o").alias("filler"))
+    all_edges = edges(known)
+    touched = part_types(new).select("s").unionByName(edges(new).select("s")).unionByName(all_edges.join(fillers(new), ["end", "filler"]).select("s")).distinct()
+    named = part_types(known.join(touched, "s", "left_semi")).groupBy("s", "cls").agg(F.count_distinct("o").alias("have_parts"))
+    mine = all_edges.join(touched, "s", "left_semi")
+    met = mine.join(fillers(known), ["end", "filler"]).select("s", "cls", "on", "filler").unionByName(mine.where("filler is null").select("s", "cls", "on", "filler"))
+    met = met.distinct().groupBy("s", "cls").agg(F.count(F.lit(1)).alias("have_some"))
+    both = named.join(met, ["s", "cls"], "full").join(wanted, "cls").fillna(0, ["have_parts", "have_some"])
+    return both.where("have_parts = n_parts and have_some = n_some").select("s", F.lit(TYPE).alias("p"), F.col("cls").alias("o"), F.lit(True).alias("node")).distinct()
 
 
 def disjoint_violations(closed: DataFrame) -> DataFrame:

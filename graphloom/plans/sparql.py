@@ -484,8 +484,13 @@ def sparql(triples: DataFrame, text: str, prefixes: dict[str, str] | None = None
     return found.df.select(*[F.col(n)["value"].alias(n) for n in found.names])
 
 
-def bindings(answer: DataFrame) -> list[dict[str, str]]:
-    """Rows as dictionaries of strings; an unbound variable reads ``None``."""
-    return [{k: str(v) for k, v in row.asDict().items()} for row in answer.collect()]
+#: Rows of an answer that come to the driver unless more are asked for.
+MOST_BINDINGS = 10_000
+
+
+def bindings(answer: DataFrame, most: int = MOST_BINDINGS) -> list[dict[str, str]]:
+    """The first ``most`` rows as dictionaries of strings; an unbound variable reads ``None``. The answer
+    itself is a DataFrame, so that larger ones can be written from executors."""
+    return [{k: str(v) for k, v in row.asDict().items()} for row in answer.limit(most).collect()]
 
 

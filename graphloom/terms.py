@@ -38,11 +38,11 @@ TARGET_LABELS = ("PERSON", "ORG", "GPE", "DATE", "LOC", "FAC", "PRODUCT", "EVENT
 
 # Words that are no entity, pronouns that are no endpoint, verbs that are no predicate.
 ENTITY_STOPWORDS = (
-    "the a an this that these those he she it they we i you mr ms dr prof one two three many some other "
-    "first last new old same great large small"
-).split()
-PRONOUNS = "he she it they we i you this that these those who which".split()
-SKIPPED_VERBS = "be have do say make get go come know think see use find give take include contain become".split()
+    "the", "a", "an", "this", "that", "these", "those", "he", "she", "it", "they", "we", "i", "you", "mr", "ms", "dr", "prof", "one", "two", "three", "many", "some", "other",
+    "first", "last", "new", "old", "same", "great", "large", "small",
+)
+PRONOUNS = ("he", "she", "it", "they", "we", "i", "you", "this", "that", "these", "those", "who", "which")
+SKIPPED_VERBS = ("be", "have", "do", "say", "make", "get", "go", "come", "know", "think", "see", "use", "find", "give", "take", "include", "contain", "become")
 
 # Seed alignments, label -> (entity id, confidence).
 SEEDS = {
