@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import clean_text, is_predicate_verb, is_target_label, is_useful_endpoint, is_useful_page, is_valid_entity, strip, title_from_url, verb_label, word_count
+from graphloom.plans.fixpoint import cut
 from graphloom.terms import SEEDS
 
+#: ``sentence`` is on a sentence's first token (i = 0) alone: the others are null, so that a sentence isn't
+#: stored, shuffled and sorted as often as it has words.
 TOKENS = "page_id long, sent_id int, sentence string, i int, text string, lemma string, pos string, dep string, head int, label string, iob string"
 _NAMES = [c.split()[0] for c in TOKENS.split(", ")]
 
@@ -106,11 +109,12 @@ def default_annotator(text: str) -> list[tuple]:
 
 
 def tokenize(pages: DataFrame, annotator: Annotator = default_annotator, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
-    """The token table of ``pages``; texts are annotated once, in Arrow batches."""
+    """The token table of ``pages``, in Arrow batches. Each plan that reads it annotates anew; ``facts``
+    writes it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *t) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in annotator(text or "")]
+            rows = [(i, t[0], t[1] if t[2] == 0 else None, *t[2:]) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in annotator(text or "")]
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), *[pa.string()] * 4, pa.int32(), pa.string(), pa.string()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
@@ -118,32 +122,42 @@ def tokenize(pages: DataFrame, annotator: Annotator = default_annotator, id_col:
     return pages.select(F.col(id_col).cast("long"), clean_text(text_col)).mapInArrow(run, TOKENS)
 
 
-def spans(tokens: DataFrame) -> DataFrame:
-    """Entity spans, one row per token of one: ``first`` position, whole ``span`` text. Islands of B and I
-    tags by a running count within the sentence."""
+def sentences(tokens: DataFrame) -> DataFrame:
+    return tokens.where("i = 0").select("page_id", "sent_id", "sentence")
+
+
+def spans(tokens: DataFrame, legacy: bool = False) -> DataFrame:
+    """Entity spans, one row per token of one: ``first`` position, ``span`` text. Islands of B and I tags by
+    a running count within the sentence. ``legacy``: from a token that isn't the first of its span, the
+    first one is left out, as a walk to the left that stops at it does."""
     sentence = Window.partitionBy("page_id", "sent_id").orderBy("i")
     inside = tokens.withColumn("island", F.sum((F.col("iob") != "I").cast("int")).over(sentence)).where("iob <> 'O'")
     whole = Window.partitionBy("page_id", "sent_id", "island")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text")).over(whole)), lambda x: x["text"]), " ")
+    held = F.array_sort(F.collect_list(F.struct("i", "iob", "text")).over(whole))
+    if legacy:
+        held = F.when(F.col("iob") == "I", F.filter(held, lambda x: x["iob"] == "I")).otherwise(held)
+    text = F.array_join(F.transform(held, lambda x: x["text"]), " ")
     return inside.withColumn("span", text).withColumn("first", F.min("i").over(whole))
 
 
 def entities(tokens: DataFrame) -> DataFrame:
     """(page_id, text, label, sentence, sent_id, i): valid mentions of the kept labels, the first of each
     (text, label) on a page."""
-    found = spans(tokens).where("i = first").select("page_id", F.col("span").alias("text"), "label", "sentence", "sent_id", "i")
+    found = spans(tokens).where("i = first").select("page_id", F.col("span").alias("text"), "label", "sent_id", "i")
     kept = found.where(is_target_label("label") & is_valid_entity("text", "label"))
-    return first_of(kept, ["page_id", "text", "label"], ["sent_id", "i"])
+    first = first_of(kept, ["page_id", "text", "label"], ["sent_id", "i"])
+    return first.join(sentences(tokens), ["page_id", "sent_id"], "left").select("page_id", "text", "label", "sentence", "sent_id", "i")
 
 
-def relations(tokens: DataFrame) -> DataFrame:
-    """Subject-verb-object and subject-verb-preposition-object facts whose ends are both entities."""
-    whole = spans(tokens).select("page_id", "sent_id", "i", "span")
-    t = tokens.join(whole, ["page_id", "sent_id", "i"], "left").withColumn("span", F.coalesce("span", "text"))
+def relations(tokens: DataFrame, legacy_span: bool = False) -> DataFrame:
+    """Subject-verb-object and subject-verb-preposition-object facts whose ends are both entities, the first
+    of each on a page. ``legacy_span`` as in ``spans``."""
+    whole = spans(tokens, legacy_span).select("page_id", "sent_id", "i", "span")
+    t = tokens.drop("sentence").join(whole, ["page_id", "sent_id", "i"], "left").withColumn("span", F.coalesce("span", "text"))
     key = ["page_id", "sent_id"]
     roots = t.where((F.col("dep") == "ROOT") & (F.col("pos") == "VERB") & is_predicate_verb("lemma"))
     first = Window.partitionBy(*key).orderBy("i")
-    roots = roots.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*key, F.col("i").alias("verb"), "lemma", "sentence")
+    roots = roots.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*key, F.col("i").alias("verb"), "lemma")
     arm = lambda deps, name, at: t.where(F.col("dep").isin(*deps)).select(*key, F.col("head").alias(at), F.col("i").alias(f"{name}_i"), F.col("span").alias(name), F.col("label").alias(f"{name}_label"))
     subjects = arm(("nsubj", "nsubjpass"), "subject", "verb")
     direct = arm(("dobj", "attr", "oprd"), "object", "verb")
@@ -151,10 +165,11 @@ def relations(tokens: DataFrame) -> DataFrame:
     through = arm(("pobj",), "object", "prep_i")
     svo = roots.join(subjects, [*key, "verb"]).join(direct, [*key, "verb"]).withColumn("predicate", verb_label("lemma"))
     svpo = roots.join(subjects, [*key, "verb"]).join(prepositions, [*key, "verb"]).join(through, [*key, "prep_i"]).withColumn("predicate", verb_label("lemma", "prep"))
-    columns = ["page_id", "subject", "subject_label", "predicate", "object", "object_label", "sentence", "sent_id", "subject_i", "object_i"]
+    columns = ["page_id", "subject", "subject_label", "predicate", "object", "object_label", "sent_id", "subject_i", "object_i"]
     both = svo.select(*columns).unionByName(svpo.select(*columns))
     kept = both.where("subject_label <> '' and object_label <> ''").where(is_useful_endpoint("subject") & is_useful_endpoint("object"))
-    return first_of(kept, ["page_id", "subject", "predicate", "object"], ["sent_id", "subject_i", "object_i"])
+    first = first_of(kept, ["page_id", "subject", "predicate", "object"], ["sent_id", "subject_i", "object_i"])
+    return first.join(sentences(tokens), key, "left").select("page_id", "subject", "subject_label", "predicate", "object", "object_label", "sentence", "sent_id", "subject_i", "object_i")
 
 
 def first_of(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -167,16 +182,17 @@ def first_of(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 def facts(pages: DataFrame, annotator: Annotator = default_annotator, id_col: str = "page_id", counters: Observation | None = None) -> DataFrame:
     """The fact table of pages (``page_id, url, title, text``): relations of all pages before mentions, the
-    first of each (subject, predicate, object). ``counters`` observes the rows before that choice."""
-    tokens = tokenize(pages, annotator, id_col)
+    first of each (subject, predicate, object). ``counters`` observes the rows before that choice. Texts are
+    annotated once: the tokens are a table in the shared folder."""
+    tokens = cut(tokenize(pages, annotator, id_col))
     sources = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", F.coalesce("title", "url").alias("title"))
-    cut: Callable[[str], Column] = lambda c: F.substring(c, 1, 300)
+    short: Callable[[str], Column] = lambda c: F.substring(c, 1, 300)
     rel = relations(tokens).join(sources, "page_id").select(
-        F.lit(0).alias("kind"), "page_id", "sent_id", F.col("subject_i").alias("i"), "subject", "subject_label", "predicate", "object", "object_label", F.col("url").alias("source_url"), cut("sentence").alias("sentence"), F.lit("relation").alias("extraction_type")
+        F.lit(0).alias("kind"), "page_id", "sent_id", F.col("subject_i").alias("i"), "subject", "subject_label", "predicate", "object", "object_label", F.col("url").alias("source_url"), short("sentence").alias("sentence"), F.lit("relation").alias("extraction_type")
     )
     ner = entities(tokens).join(sources, "page_id").select(
         F.lit(1).alias("kind"), "page_id", "sent_id", "i", F.col("text").alias("subject"), F.col("label").alias("subject_label"), F.lit("mentionedIn").alias("predicate"), F.col("title").alias("object"), F.lit("Article").alias("object_label"),
-        F.col("url").alias("source_url"), cut("sentence").alias("sentence"), F.lit("ner").alias("extraction_type"),
+        F.col("url").alias("source_url"), short("sentence").alias("sentence"), F.lit("ner").alias("extraction_type"),
     )
     clean = rel.unionByName(ner)
     if counters is not None:

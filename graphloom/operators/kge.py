@@ -1,7 +1,7 @@
 """Embedding training (TransE, DistMult, ComplEx), evaluation, sensitivity runs and 2-d maps.
 
-Rounds of data-parallel training: each partition of the triples runs minibatch Adam from the shared
-parameters and the results are averaged by rows that were touched. The parameter tables are what a
+Rounds of data-parallel training: each worker runs some epochs of minibatch Adam on its part of the
+triples from the shared parameters, and the results are averaged. The parameter tables are what a
 model is; ``max_parameters`` bounds them, since each worker holds them whole."""
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import keyword_class
 from graphloom.operators import splits
+from graphloom.plans.fixpoint import cut
 from graphloom.sources.tables import dictionaries, encode_ids
 from graphloom.terms import CLASS_COLOURS
 
@@ -62,16 +63,35 @@ def corrupt(triples: np.ndarray, n_entities: int, rng: np.random.Generator) -> n
     return bad
 
 
-def run_epoch(kind: str, e: np.ndarray, r: np.ndarray, triples: np.ndarray, lr: float, batch: int, margin: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """One pass of minibatch Adagrad on the margin loss (TransE) or the logistic loss (others)."""
+@dataclass
+class Adam:
+    """Moments of a parameter table; rows that a batch doesn't touch stay as they are."""
+
+    mean: np.ndarray
+    square: np.ndarray
+    steps: int = 0
+
+    @classmethod
+    def of(cls, parameters: np.ndarray) -> "Adam":
+        return cls(np.zeros_like(parameters), np.zeros_like(parameters))
+
+    def step(self, parameters: np.ndarray, rows: np.ndarray, gradient: np.ndarray, lr: float) -> None:
+        self.steps += 1
+        self.mean[rows] = 0.9 * self.mean[rows] + 0.1 * gradient
+        self.square[rows] = 0.999 * self.square[rows] + 0.001 * gradient * gradient
+        mean, square = self.mean[rows] / (1 - 0.9**self.steps), self.square[rows] / (1 - 0.999**self.steps)
+        parameters[rows] -= lr * mean / (np.sqrt(square) + 1e-8)
+
+
+def run_epoch(kind: str, e: np.ndarray, r: np.ndarray, triples: np.ndarray, lr: float, batch: int, margin: float, seed: int, adam: tuple[Adam, Adam] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """One pass of minibatch Adam on the margin loss (TransE) or the logistic loss (others)."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(triples))
-    ge, gr = np.full(e.shape, 1e-8), np.full(r.shape, 1e-8)
+    adam = adam or (Adam.of(e), Adam.of(r))
     loss = 0.0
     for at in range(0, len(order), batch):
         pos = triples[order[at : at + batch]]
         neg = corrupt(pos, len(e), rng)
-        de, dr = np.zeros_like(e), np.zeros_like(r)
         sides = [(x, score(kind, e[x[:, 0]], r[x[:, 1]], e[x[:, 2]])) for x in (pos, neg)]
         if kind == "TransE":
             slack = margin - sides[0][1] + sides[1][1]
@@ -82,14 +102,16 @@ def run_epoch(kind: str, e: np.ndarray, r: np.ndarray, triples: np.ndarray, lr:
             p = [1 / (1 + np.exp(-np.clip(s, -30, 30))) for _, s in sides]
             loss -= np.log(p[0] + 1e-12).sum() + np.log(1 - p[1] + 1e-12).sum()
             weights = (p[0] - 1, p[1])
+        found = ([], [])
         for (x, _), w in zip(sides, weights, strict=True):
             h, q, t = gradients(kind, e[x[:, 0]], r[x[:, 1]], e[x[:, 2]])
-            np.add.at(de, x[:, 0], w[:, None] * h)
-            np.add.at(de, x[:, 2], w[:, None] * t)
-            np.add.at(dr, x[:, 1], w[:, None] * q)
-        for p, g, d in ((e, ge, de), (r, gr, dr)):
-            g += d * d
-            p -= lr * d / np.sqrt(g)
+            found[0].extend(((x[:, 0], w[:, None] * h), (x[:, 2], w[:, None] * t)))
+            found[1].append((x[:, 1], w[:, None] * q))
+        for table, state, parts in zip((e, r), adam, found, strict=True):
+            rows, place = np.unique(np.concatenate([i for i, _ in parts]), return_inverse=True)
+            gradient = np.zeros((len(rows), table.shape[1]))
+            np.add.at(gradient, place, np.concatenate([g for _, g in parts]))
+            state.step(table, rows, gradient / len(pos), lr)
     if kind == "TransE":
         e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1.0)
     return e, r, loss / max(1, len(triples))
@@ -97,9 +119,13 @@ def run_epoch(kind: str, e: np.ndarray, r: np.ndarray, triples: np.ndarray, lr:
 
 def train(
     spark: SparkSession, train_triples: DataFrame, kind: str = "TransE", dim: int = 128, lr: float = 0.01, batch: int = 512, epochs: int = 100, margin: float = 1.0, seed: int = 42, workers: int = 1,
-    max_parameters: int = 200_000_000,
+    local_epochs: int = 10, max_parameters: int = 200_000_000,
 ) -> tuple[Model, list[float]]:
-    """Fit a model; returns it and the loss by epoch. With one worker the run is deterministic."""
+    """Fit a model; returns it and the loss by epoch. Given the workers, a run is deterministic.
+
+    A round is ``local_epochs`` epochs of every worker on its part of the triples, with Adam's moments kept
+    through the round (with one worker, through all rounds, which are one); then the workers' parameters
+    are averaged, weighted by their rows, in an aggregation by blocks of rows, not at the driver."""
     if kind not in MODELS:
         raise ValueError(f"unknown model {kind!r}")
     entities, relations = dictionaries(train_triples)
@@ -113,37 +139,62 @@ def train(
     scale = 6 / np.sqrt(width)
     e = rng.uniform(-scale, scale, (len(entity_ids), width))
     r = rng.uniform(-scale, scale, (len(relation_ids), width))
-    encoded = encode_ids(train_triples, train_triples).repartition(workers, "s_id", "p_id", "o_id").sortWithinPartitions("s_id", "p_id", "o_id").persist()
-    losses = []
-    for epoch in range(epochs):
+    encoded = cut(encode_ids(train_triples, train_triples).withColumn("w", F.pmod(F.xxhash64("s_id", "p_id", "o_id"), F.lit(workers)).cast("int")))
+    losses: list[float] = []
+    per_round = epochs if workers == 1 else local_epochs
+    for first in range(0, epochs, per_round):
         shared = spark.sparkContext.broadcast((e, r))
-
-        def work(batches, shared=shared, epoch=epoch):
-            tables = [pa.Table.from_batches([b]) for b in batches]
-            rows = np.concatenate([np.stack([t.column(c).to_numpy() for c in ("s_id", "p_id", "o_id")], 1) for t in tables] or [np.zeros((0, 3), np.int64)])
-            if len(rows):
-                e, r = (x.copy() for x in shared.value)
-                e, r, loss = run_epoch(kind, e, r, rows, lr, batch, margin, seed * 100_003 + epoch)
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)]), pa.array([loss]), pa.array([e.tobytes()], pa.binary()), pa.array([r.tobytes()], pa.binary())], names=["n", "loss", "e", "r"])
-
-        out = encoded.mapInArrow(work, "n long, loss double, e binary, r binary").collect()
-        total = sum(x["n"] for x in out)
-        e = sum(np.frombuffer(x["e"]).reshape(e.shape) * (x["n"] / total) for x in out)
-        r = sum(np.frombuffer(x["r"]).reshape(r.shape) * (x["n"] / total) for x in out)
-        losses.append(sum(x["loss"] * x["n"] for x in out) / total)
+        work = _round(kind, shared, range(first, min(epochs, first + per_round)), lr, batch, margin, seed)
+        made = encoded.groupBy("w").applyInArrow(work, "block long, weight long, numbers binary").groupBy("block").applyInArrow(_mean, "block long, numbers binary")
+        for row in made.toLocalIterator():
+            values, at = np.frombuffer(row["numbers"]), row["block"] & ((1 << 40) - 1)
+            if row["block"] >> 40 == 2:
+                losses += values.tolist()
+            else:
+                target = (e, r)[row["block"] >> 40]
+                target[at * ROWS : (at + 1) * ROWS] = values.reshape(-1, width)
         shared.unpersist()
-    encoded.unpersist()
     return Model(kind, e, r, entity_ids, relation_ids), losses
 
 
+#: Rows of a parameter table that are averaged and sent together.
+ROWS = 4096
+
+
+def _round(kind: str, shared, epochs: range, lr: float, batch: int, margin: float, seed: int):
+    """A worker's epochs over its triples: its parameters and losses, by blocks, times its rows."""
+
+    def work(table):
+        rows = np.stack([table.column(c).to_numpy() for c in ("s_id", "p_id", "o_id")], 1)
+        rows = rows[np.lexsort(rows.T)]
+        e, r = (x.copy() for x in shared.value)
+        adam, lost = (Adam.of(e), Adam.of(r)), []
+        for epoch in epochs:
+            e, r, loss = run_epoch(kind, e, r, rows, lr, batch, margin, seed * 100_003 + epoch, adam)
+            lost.append(loss)
+        blocks = [(name << 40 | at // ROWS, values[at : at + ROWS]) for name, values in ((0, e), (1, r)) for at in range(0, len(values), ROWS)]
+        blocks.append((2 << 40, np.array(lost)))
+        columns = {"block": [b for b, _ in blocks], "weight": [len(rows)] * len(blocks), "numbers": [(x * len(rows)).tobytes() for _, x in blocks]}
+        return pa.table(columns, pa.schema([("block", pa.int64()), ("weight", pa.int64()), ("numbers", pa.binary())]))
+
+    return work
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py()) for x in table.column("numbers")) / sum(table.column("weight").to_pylist())
+    return pa.table({"block": table.column("block")[:1], "numbers": pa.array([total.tobytes()], pa.binary())})
+
+
 def evaluate(model: Model, test: DataFrame, known: DataFrame) -> dict[str, float]:
     """Filtered realistic ranks of both sides over ``test``, as MRR and hits. Test rows are scored in Arrow
     batches against all entities; the known triples of each test row come along, grouped by its pair."""
     spark = test.sparkSession
     maps = spark.sparkContext.broadcast((model.entity_ids, model.relation_ids))
     shared = spark.sparkContext.broadcast((model.kind, model.entities, model.relations))
-    tails = known.groupBy("s", "p").agg(F.collect_set("o").alias("tails"))
-    heads = known.groupBy("p", "o").agg(F.collect_set("s").alias("heads"))
+    asked = test.select("s", "p", "o")
+    # Only pairs that test rows ask about are gathered; a list is at most all entities, which a worker holds anyway.
+    tails = known.join(asked.select("s", "p").distinct(), ["s", "p"], "left_semi").groupBy("s", "p").agg(F.collect_set("o").alias("tails"))
+    heads = known.join(asked.select("p", "o").distinct(), ["p", "o"], "left_semi").groupBy("p", "o").agg(F.collect_set("s").alias("heads"))
     rows = test.select("s", "p", "o").join(tails, ["s", "p"], "left").join(heads, ["p", "o"], "left").select("s", "p", "o", "heads", "tails")
 
     def run(batches):

@@ -3,17 +3,20 @@
 Every variable is a column of term structs (null: unbound). A basic graph pattern becomes self-joins
 of the triple table on shared variables, most selective and connected pattern first; each scan keeps
 its constants as plain filters, which reach the Parquet reader. OPTIONAL, UNION, MINUS and EXISTS are
-left, union and semi or anti joins; joins are by equality wherever a shared variable is bound on both
-sides. Expression errors are nulls, so a filter on one is false."""
+left, union and semi or anti joins. Joins are by equality: where a shared variable may be unbound, each side
+is split into rows with and without it, and each pair of parts joins on what both have bound. Expression
+errors are nulls, so a filter on one is false."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.fixpoint import transitive_closure
+from graphloom.plans.fixpoint import reachable, transitive_closure
 from graphloom.plans.sparql_parser import Const, Group, Select, SparqlError, Var, parse
 from graphloom.terms import PREFIXES, TERM_TYPE, XSD, constant, term
 
@@ -95,10 +98,12 @@ class Lowering:
                 names[x.name] = made
         return Solutions(df.select(*[c.alias(n) for n, c in names.items()]), list(names), set(names))
 
-    def pattern(self, s, path, o) -> Solutions:
+    def pattern(self, s, path, o, before: Solutions | None = None) -> Solutions:
+        """Solutions of one pattern. A repeated path is followed from an end that is a constant, or that
+        ``before`` binds, and only otherwise from everywhere."""
         if isinstance(path, (Var, Const)):
             return self.scan(s, path, o)
-        pairs = self.pairs(path)
+        pairs = self.seeded(s, path, o, before) if path[0] == "repeat" and path[2] == "+" else self.pairs(path)
         ends = {"a": s, "b": o}
         names = {}
         for column, x in ends.items():
@@ -110,6 +115,21 @@ class Lowering:
                 names[x.name] = column
         return Solutions(pairs.select(*[F.col(c).alias(n) for n, c in names.items()]), list(names), set(names))
 
+    def seeded(self, s, path, o, before: Solutions | None) -> DataFrame:
+        steps = self.pairs(path[1])
+        known = lambda x: isinstance(x, Const) or before is not None and before.df is not None and x.name in before.sure
+
+        def starts(x) -> DataFrame:
+            if isinstance(x, Const):
+                return self.spark.range(1).select(constant(x.kind, x.value, x.datatype, x.lang).alias("a"))
+            return before.df.select(F.col(x.name).alias("a")).distinct()
+
+        if isinstance(s, Const) or known(s) and not isinstance(o, Const):
+            return reachable(steps, starts(s))
+        if known(o):
+            return reachable(steps.select(F.col("b").alias("a"), F.col("a").alias("b")), starts(o)).select(F.col("b").alias("a"), F.col("a").alias("b"))
+        return transitive_closure(steps)
+
     def pairs(self, path) -> DataFrame:
         """(a, b) term pairs that a property path joins."""
         if isinstance(path, Const):
@@ -147,21 +167,30 @@ class Lowering:
             linked = [t for t in left if variables(t) & set(found.names)] or left
             best = min(linked, key=cost)
             left.remove(best)
-            found = self.join(found, self.pattern(*best))
+            found = self.join(found, self.pattern(*best, before=found))
         return found
 
     # --- joins ---
 
-    def condition(self, a: Solutions, b: Solutions, shared: list[str]) -> Column:
-        parts = []
-        for n in shared:
-            same = F.col(f"l.{n}") == F.col(f"r.{n}")
-            if n not in a.sure:
-                same = same | F.col(f"l.{n}").isNull()
-            if n not in b.sure:
-                same = same | F.col(f"r.{n}").isNull()
-            parts.append(same)
-        return reduce(Column.__and__, parts)
+    def split(self, x: Solutions, names: list[str], side: str) -> Iterator[tuple[set[str], DataFrame]]:
+        """The rows of ``x`` by which of ``names`` they bind; one part where all are sure."""
+        unsure = [n for n in names if n not in x.sure]
+        for bound in product((True, False), repeat=len(unsure)):
+            part = self.frame(x)
+            for n, is_bound in zip(unsure, bound, strict=True):
+                part = part.where(F.col(n).isNotNull() if is_bound else F.col(n).isNull())
+            yield set(names) - {n for n, is_bound in zip(unsure, bound, strict=True) if not is_bound}, part.alias(side)
+
+    def matches(self, a: Solutions, b: Solutions, shared: list[str], extra: Column | None) -> Iterator[tuple[DataFrame, list[tuple[DataFrame, Column | None, set[str]]]]]:
+        """Each part of ``a`` with the parts of ``b``, the condition (equality of what both bind, and
+        ``extra``) and the names in it."""
+        for has_a, left in self.split(a, shared, "l"):
+            parts = []
+            for has_b, right in self.split(b, sorted(has_a), "r"):
+                on = [F.col(f"l.{n}") == F.col(f"r.{n}") for n in shared if n in has_a & has_b]
+                on += [extra] if extra is not None else []
+                parts.append((right, reduce(Column.__and__, on) if on else None, has_a & has_b))
+            yield left, parts
 
     def join(self, a: Solutions, b: Solutions, how: str = "inner", extra: Column | None = None) -> Solutions:
         if a.df is None and how == "inner":
@@ -169,15 +198,39 @@ class Lowering:
         if b.df is None:
             return a
         shared = [n for n in a.names if n in b.names]
-        left, right = self.frame(a).alias("l"), b.df.alias("r")
-        on = self.condition(a, b, shared) if shared else None
-        if extra is not None:
-            on = extra if on is None else on & extra
-        joined = left.crossJoin(right) if on is None and how == "inner" else left.join(right, on if on is not None else F.lit(True), how)
+        names = [*a.names, *[n for n in b.names if n not in shared]]
         columns = [(F.coalesce(F.col(f"l.{n}"), F.col(f"r.{n}")) if n in shared and n not in a.sure else F.col(f"l.{n}")).alias(n) for n in a.names]
         columns += [F.col(f"r.{n}") for n in b.names if n not in shared]
+        out = []
+        for left, parts in self.matches(a, b, shared, extra):
+            if how == "left" and len(parts) == 1:
+                right, on, _ = parts[0]
+                out.append(left.join(right, on if on is not None else F.lit(True), "left").select(*columns))
+                continue
+            for right, on, _ in parts:
+                out.append((left.crossJoin(right) if on is None else left.join(right, on)).select(*columns))
+            if how == "left":
+                for right, on, _ in parts:
+                    left = left.join(right, on if on is not None else F.lit(True), "left_anti").alias("l")
+                out.append(left.select(*[F.col(f"l.{n}") for n in a.names], *[F.lit(None).cast(TERM_TYPE).alias(n) for n in names[len(a.names) :]]))
         sure = a.sure | b.sure if how == "inner" else set(a.sure)
-        return Solutions(joined.select(*columns), [*a.names, *[n for n in b.names if n not in shared]], sure)
+        return Solutions(reduce(DataFrame.unionByName, out), names, sure)
+
+    def having(self, a: Solutions, b: Solutions, shared: list[str], extra: Column | None, positive: bool, must_share: bool = False) -> Solutions:
+        """Rows of ``a`` that match some row of ``b`` (or none); with ``must_share``, rows that bind nothing
+        in common don't match."""
+        out = []
+        for left, parts in self.matches(a, b, shared, extra):
+            for right, on, names in parts:
+                if must_share and not names:
+                    continue
+                on = on if on is not None else F.lit(True)
+                if positive:
+                    out.append(left.join(right, on, "left_semi").select("l.*"))
+                left = left.join(right, on, "left_anti").alias("l")
+            if not positive:
+                out.append(left.select("l.*"))
+        return Solutions(reduce(DataFrame.unionByName, out), a.names, a.sure)
 
     def optional(self, a: Solutions, inner: Group) -> Solutions:
         filters = [e[1] for e in inner.elements if e[0] == "filter"]
@@ -196,12 +249,7 @@ class Lowering:
 
     def minus(self, a: Solutions, b: Solutions) -> Solutions:
         shared = [n for n in a.names if n in b.names]
-        if not shared:
-            return a
-        on = self.condition(a, b, shared)
-        if not set(shared) <= a.sure & b.sure:  # something must be bound on both sides
-            on = on & reduce(Column.__or__, [F.col(f"l.{n}").isNotNull() & F.col(f"r.{n}").isNotNull() for n in shared])
-        return Solutions(a.df.alias("l").join(b.df.alias("r"), on, "left_anti").select(*[F.col(f"l.{n}") for n in a.names]), a.names, a.sure)
+        return self.having(a, b, shared, None, positive=False, must_share=True) if shared else a
 
     def values(self, names: list[str], rows: list) -> Solutions:
         data = [tuple((x.kind, x.value, x.datatype, x.lang) if x else None for x in row) for row in rows]
@@ -225,13 +273,10 @@ class Lowering:
         filters = [e[1] for e in group.elements if e[0] == "filter" and e[1][0] != "exists"]
         b = self.group(Group([e for e in group.elements if not (e[0] == "filter" and e[1][0] != "exists")]))
         shared = [n for n in found.names if n in b.names]
-        on = self.condition(found, b, shared) if shared else F.lit(True)
         both = Solutions(None, [*found.names, *[n for n in b.names if n not in shared]], set())
         side = {n: F.col(f"l.{n}") if n in found.names else F.col(f"r.{n}") for n in both.names}
-        for e in filters:
-            on = on & F.coalesce(self.truth(e, both, side), F.lit(False))
-        kept = self.frame(found).alias("l").join(b.df.alias("r"), on, "left_semi" if positive else "left_anti")
-        return Solutions(kept.select(*[F.col(f"l.{n}") for n in found.names]), found.names, found.sure)
+        extra = reduce(Column.__and__, [F.coalesce(self.truth(e, both, side), F.lit(False)) for e in filters]) if filters else None
+        return self.having(found, b, shared, extra, positive)
 
     # --- queries ---
 

@@ -13,6 +13,8 @@ from graphloom.terms import RDF, TRIPLE_SCHEMA
 
 LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)\s*\.\s*(?:#.*)?$'
 
+NO_TRIPLE = r"^\s*(#.*)?$"
+
 
 def _unescaped(c: Column) -> Column:
     """Backslash escapes undone: the common ones left to right by splitting, code points by number."""
@@ -37,10 +39,15 @@ def _unescaped(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(pieces, one), "\\")).otherwise(c)
 
 
-def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Triples of N-Triples lines; blank lines, comments and lines that don't parse are skipped."""
+def parse_ntriples(lines: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
+    """Triples of N-Triples lines; blank lines and comments are skipped. A line that doesn't parse fails the
+    query, or is skipped where ``strict`` is false (``bad_lines`` tells which)."""
     part = lambda i: F.regexp_extract(column, LINE, i)
-    raw = lines.where(F.rlike(column, F.lit(LINE))).select(*[part(i).alias(f"g{i}") for i in range(1, 8)])
+    fine = F.rlike(column, F.lit(LINE))
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("not a line of N-Triples: "), F.substring(F.col(column), 1, 200))).cast("boolean")
+        fine = F.when(fine, True).when(F.rlike(column, F.lit(NO_TRIPLE)), False).otherwise(wrong)
+    raw = lines.where(fine).select(*[part(i).alias(f"g{i}") for i in range(1, 8)])
     uri_s = F.startswith("g1", F.lit("<"))
     return raw.select(
         F.when(uri_s, _unescaped(F.expr("substring(g1, 2, length(g1) - 2)"))).otherwise(F.col("g1")).alias("s"),
@@ -53,8 +60,13 @@ def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    return parse_ntriples(spark.read.text(path)).distinct()
+def bad_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines that are neither a triple nor blank nor a comment."""
+    return lines.where(~F.rlike(column, F.lit(LINE)) & ~F.rlike(column, F.lit(NO_TRIPLE)))
+
+
+def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    return parse_ntriples(spark.read.text(path), strict=strict).distinct()
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:

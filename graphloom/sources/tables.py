@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import strip
+from graphloom.plans.fixpoint import cut
 from graphloom.terms import ONTOLOGY, RESOURCE, TRIPLE_COLUMNS, TYPE, triple
 
 PAGES = "url string, title string, text string, word_count long, crawled_at string"
@@ -50,9 +51,10 @@ def dictionaries(train: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dense_ids(names: DataFrame) -> DataFrame:
     """(name, id): ids from 0 on in the order of names. A range sort and the sizes of its partitions give
-    the ids, so no partition sees all names; the sizes (one row a partition) are gathered."""
+    the ids, so no partition sees all names; the sizes (one row a partition) are gathered. The sorted rows
+    are written once, with their places: a sort that runs again may cut its ranges elsewhere."""
     (column,) = names.columns
-    ranged = names.sort(column).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
+    ranged = cut(names.sort(column).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
     first = ranged.groupBy("__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n")).orderBy("__part").collect()
     starts, total = [], 0
     for r in first:
@@ -64,15 +66,25 @@ def dense_ids(names: DataFrame) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "__part").select(column, (F.col("__row") - F.col("__first") + F.col("__start")).alias("id"))
 
 
-def read_metrics(spark: SparkSession, path: str, model: str) -> DataFrame:
-    """One row of ranking metrics from a JSON document: nested keys, else flat ones; null where absent."""
-    text = spark.read.text(path, wholetext=True)
+def read_metrics(spark: SparkSession, path: str | list[str], model: str) -> DataFrame:
+    """One row of ranking metrics from a JSON document (of several paths, the first that there is): nested
+    keys, else flat ones; null where absent."""
+    paths = [path] if isinstance(path, str) else path
+    found = next((p for p in paths if _exists(spark, p)), None)
+    if found is None:
+        raise FileNotFoundError(f"none of {', '.join(paths)}")
+    text = spark.read.text(found, wholetext=True)
     pick = lambda side, kind, name: F.coalesce(F.get_json_object("value", f"$.metrics.{side}.{kind}.{name}"), F.get_json_object("value", f"$.metrics['{side}.{kind}.{name}']")).cast("double")
     mrr = {f"mrr_{side}": pick(side, "realistic", "inverse_harmonic_mean_rank") for side in ("both", "head", "tail")}
     hits = {f"hits_at_{k}": pick("both", "realistic", f"hits_at_{k}") for k in (1, 3, 10)}
     return text.select(F.lit(model).alias("model"), *[c.alias(n) for n, c in (mrr | hits).items()])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def map_table(table: DataFrame, name: str, key: str, columns: dict[str, str], links: dict[str, tuple[str, str]] | None = None, kind: str | None = None) -> DataFrame:
     """Rows as triples: ``resource/<name>_<key>`` with a predicate per column; ``links`` (column ->
     (predicate, table)) become URI objects. One narrow pass, no shuffle."""

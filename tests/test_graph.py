@@ -132,7 +132,11 @@ def test_graph_files_round_trip(spark, tmp_path):
 
 def test_ntriples_lines(spark):
     lines = ['<a> <b> "x\\u00e9\\U0001F600" .', "# comment", "", '<a> <b> "5"^^<t> . # tail', "_:x <b> _:y .", "bad line", '<a> <b> "t"@EN .']
-    got = rows(rdf.parse_ntriples(spark.createDataFrame([(x,) for x in lines], "value string")), "s", "o", "o_kind", "o_datatype", "o_lang")
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    with pytest.raises(Exception, match="bad line"):
+        rdf.parse_ntriples(df).collect()
+    assert [r["value"] for r in rdf.bad_lines(df).collect()] == ["bad line"]
+    got = rows(rdf.parse_ntriples(df, strict=False), "s", "o", "o_kind", "o_datatype", "o_lang")
     assert got == sorted([("a", "xé😀", "literal", "", ""), ("a", "5", "literal", "t", ""), ("_:x", "_:y", "bnode", "", ""), ("a", "t", "literal", "", "en")])
 
 

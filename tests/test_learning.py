@@ -40,6 +40,27 @@ def test_facts_keep_the_first_and_relations_first(spark):
     assert len(keys) == len(set(keys)) and ("1969", "mentionedIn", "A") in keys
 
 
+def test_texts_are_annotated_once(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def annotator(text):
+        with open(log, "a") as out:
+            out.write("x")
+        return extract.default_annotator(text)
+
+    pages = spark.createDataFrame([(i, "u", "A", "Later Neil Armstrong commanded Apollo 11. He left.") for i in range(5)], "page_id long, url string, title string, text string")
+    assert extract.facts(pages, annotator).count() > 0 and log.read_text() == "x" * 5
+    first = extract.tokenize(pages, annotator).where("page_id = 0").collect()
+    assert [r["sentence"] is not None for r in first] == [r["i"] == 0 for r in first]
+
+
+def test_legacy_spans_leave_the_first_word_out(spark):
+    tokens = extract.tokenize(spark.createDataFrame([(1, "In 1969 Neil Armstrong visited Cape Canaveral.")], "page_id long, text string"))
+    whole = {r["subject"] for r in extract.relations(tokens).collect()}
+    legacy = {r["subject"] for r in extract.relations(tokens, legacy_span=True).collect()}
+    assert whole == {"Neil Armstrong"} and legacy == {"Armstrong"}
+
+
 def test_crawl_filters_pages(spark):
     fetched = spark.createDataFrame([(1, "http://w/Apollo_11", "<p>" + "word " * 600 + "</p>"), (2, "u", "<p>few</p>"), (3, "v", None)], "page_id long, url string, html string")
     rows = extract.crawl(fetched).collect()
@@ -87,7 +108,9 @@ def test_training_learns_and_repeats(spark, kind):
     options = {"dim": 16, "lr": 0.1, "batch": 16, "epochs": 12, "workers": 1}
     model, losses = kge.train(spark, train, kind, **options)
     again, _ = kge.train(spark, train, kind, **options)
-    assert losses[-1] < losses[0] and np.array_equal(model.entities, again.entities)
+    assert losses[-1] < losses[0] and np.array_equal(model.entities, again.entities) and len(losses) == 12
+    parted, lost = kge.train(spark, train, kind, **options | {"workers": 3, "local_epochs": 5})
+    assert len(lost) == 12 and lost[-1] < lost[0] and parted.entities.shape == model.entities.shape
     m = kge.evaluate(model, test if test.count() else train, data)
     assert 0 < m["mrr_both"] <= 1 and m["hits_at_1"] <= m["hits_at_10"]
     with pytest.raises(ValueError):
@@ -109,6 +132,17 @@ def test_dense_ids(spark):
     assert [r["id"] for r in dense_ids(df).orderBy("name").collect()] == list(range(500))
 
 
+def test_dense_ids_over_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        ids = dense_ids(spark.range(1_000_000).selectExpr("md5(cast(id as string)) as name"))
+        r = ids.selectExpr("count(*) as n", "count(distinct id) as d", "min(id) as a", "max(id) as z").first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tuple(r) == (1_000_000, 1_000_000, 0, 999_999)
+
+
 def test_streams(spark, tmp_path):
     events = tmp_path / "in"
     t = datetime.datetime(2024, 1, 1)

@@ -71,6 +71,54 @@ def test_errors(mini, text):
         sparql(mini, text)
 
 
+UNSURE = [
+    ("a", "p", "1"), ("b", "p", "2"), ("c", "p", "1"), ("a", "q", "x"), ("b", "r", "y"), ("x", "n", "k"), ("y", "n", "m"), ("z", "n", "k"), ("c", "s", "z"),
+]
+
+
+@pytest.mark.parametrize(
+    "text,answer",
+    [
+        ("SELECT ?s ?v ?k WHERE { ?s x:p ?i OPTIONAL { ?s x:q ?v } OPTIONAL { ?v x:n ?k } }", [("a", "x", "k"), *[(s, v, k) for s in "bc" for v, k in (("x", "k"), ("y", "m"), ("z", "k"))]]),
+        ("SELECT ?s ?v WHERE { ?s x:p ?i OPTIONAL { ?s x:q ?v } OPTIONAL { ?s x:r ?v } }", [("a", "x"), ("b", "y"), ("c", "None")]),
+        ("SELECT ?s ?v WHERE { ?s x:p ?i OPTIONAL { ?s x:q ?v } { ?s x:p ?i OPTIONAL { ?s x:r ?v } } }", [("a", "x"), ("b", "y"), ("c", "None")]),
+        ("SELECT ?s ?v WHERE { ?s x:p ?i OPTIONAL { ?s x:q ?v } MINUS { ?v x:n ?k } }", [("b", "None"), ("c", "None")]),
+        ("SELECT ?s ?v WHERE { ?s x:p ?i OPTIONAL { ?s x:q ?v } FILTER EXISTS { ?v x:n ?k . ?w x:p ?i } }", [("a", "x"), ("b", "None"), ("c", "None")]),
+        ("SELECT ?s ?v WHERE { ?s x:p ?i OPTIONAL { ?s x:q ?v } FILTER NOT EXISTS { ?v x:n 'none' } }", [("a", "x"), ("b", "None"), ("c", "None")]),
+        ("SELECT ?v ?k WHERE { ?v x:n ?k OPTIONAL { ?s x:q ?v OPTIONAL { ?s x:zz ?k } } }", [("x", "k"), ("y", "m"), ("z", "k")]),
+    ],
+)
+def test_variables_that_may_be_unbound(spark, text, answer):
+    g = spark.createDataFrame([(f"u:{s}", "uri", f"u:{p}", f"u:{o}", "uri", "", "") for s, p, o in UNSURE], TRIPLE_SCHEMA)
+    found = sparql(g, text.replace("'none'", "x:none"), {"x": "u:"})
+    assert sorted(tuple(v.removeprefix("u:") for v in r.values()) for r in bindings(found)) == sorted(answer)
+
+
+def test_optionals_of_unsure_variables_join_by_equality(spark):
+    g = spark.createDataFrame([(f"u:{s}", "uri", f"u:{p}", f"u:{o}", "uri", "", "") for s, p, o in UNSURE], TRIPLE_SCHEMA)
+    text = "SELECT ?s ?v WHERE { ?s x:p ?i OPTIONAL { ?s x:q ?v } OPTIONAL { ?s x:r ?v } }"
+    assert "NestedLoop" not in sparql(g, text, {"x": "u:"})._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_from_bound_ends(spark):
+    n = 10_000
+    chain = [(f"u:n{i}", "uri", "u:next", f"u:n{i + 1}", "uri", "", "") for i in range(n)] + [("u:n9990", "uri", "u:is", "u:late", "uri", "", "")]
+    g = spark.createDataFrame(chain, TRIPLE_SCHEMA).cache()
+    count = lambda text: int(bindings(sparql(g, text, {"x": "u:"}))[0]["n"])
+    assert count("SELECT (COUNT(?b) AS ?n) WHERE { x:n0 x:next+ ?b }") == n
+    assert count("SELECT (COUNT(?a) AS ?n) WHERE { ?a x:next+ x:n25 }") == 25
+    assert count("SELECT (COUNT(?b) AS ?n) WHERE { ?a x:is x:late . ?a x:next+ ?b }") == 10
+    assert count("SELECT (COUNT(?b) AS ?n) WHERE { ?a x:is x:late . ?b x:next+ ?a }") == 9990
+    assert count("SELECT (COUNT(*) AS ?n) WHERE { x:n0 x:next+ x:n10000 }") == 1
+
+
+def test_the_driver_gets_a_bounded_answer(mini):
+    assert len(bindings(sparql(mini, "SELECT ?s WHERE { ?s ?p ?o }"), 3)) == 3
+    text, _, _ = rag.answer("q?", "s", mini, lambda p: "SELECT ?s WHERE { ?s ?p ?o }")
+    assert text.endswith(f"… and {mini.count() - 10} more results")
+    assert "skg-o:launchedBy" in rag.prompt("q?", "  skg-o:launchedBy    4 triples") and "Question: q?" in rag.prompt("q?", "")
+
+
 def test_joins_use_equal_keys(mini):
     plan = sparql(mini, "SELECT ?a WHERE { ?m skg-o:hasAstronaut ?a . ?m a ?t . ?a rdfs:label ?l }")._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in plan and plan.count("Join Inner") == 2
