@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None) -> None:
     match args.command:
         case "stats":
             stats = graph.graph_stats(triples, args.graph)
-            sinks.write_json(stats, args.out)
+            sinks.write_json(spark, stats, args.out)
             print(graph.format_stats(stats))
         case "schema":
             print(graph.schema_summary(triples))
@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None) -> None:
         case "chat":
             chat(triples)
         case "evaluate":
-            sinks.write_text(rag.report(rag.evaluate(triples)), args.out)
+            sinks.write_text(spark, rag.report(rag.evaluate(triples)), args.out)
 
 
 if __name__ == "__main__":

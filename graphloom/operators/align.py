@@ -37,11 +37,14 @@ def seed_alignment(labels: DataFrame, seeds: DataFrame) -> DataFrame:
     )
 
 
-def frequent_candidates(graph: DataFrame, labels: DataFrame, seeded: DataFrame, least: int = 10, limit: int = 50) -> DataFrame:
-    """Unseeded labelled subjects of ``least`` triples or more, the ``limit`` most frequent, then by name."""
-    counts = subject_frequency(graph).where(F.col("n") >= least)
+def frequent_candidates(graph: DataFrame, labels: DataFrame, seeded: DataFrame, least: int = 10, limit: int | None = 50) -> DataFrame:
+    """Unseeded labelled subjects of ``least`` triples or more (none count 0), the ``limit`` most frequent,
+    then by name (None: all, in no order)."""
+    counts = subject_frequency(graph)
     left = labels.join(seeded.select(F.col("local_uri").alias("s")), "s", "left_anti")
-    return left.join(counts, "s").orderBy(F.desc("n"), "s").limit(limit)
+    counted = left.join(counts, "s", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    found = counted.where(F.col("n") >= least)
+    return found if limit is None else found.orderBy(F.desc("n"), "s").limit(limit)
 
 
 def best_candidates(candidates: DataFrame, found: DataFrame) -> DataFrame:

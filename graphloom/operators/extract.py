@@ -184,7 +184,11 @@ def facts(pages: DataFrame, annotator: Annotator = default_annotator, id_col: st
     """The fact table of pages (``page_id, url, title, text``): relations of all pages before mentions, the
     first of each (subject, predicate, object). ``counters`` observes the rows before that choice. Texts are
     annotated once: the tokens are a table in the shared folder."""
-    tokens = cut(tokenize(pages, annotator, id_col))
+    return fact_rows(cut(tokenize(pages, annotator, id_col)), pages, id_col, counters)
+
+
+def fact_rows(tokens: DataFrame, pages: DataFrame, id_col: str = "page_id", counters: Observation | None = None) -> DataFrame:
+    """``facts`` from a token table that is there already."""
     sources = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", F.coalesce("title", "url").alias("title"))
     short: Callable[[str], Column] = lambda c: F.substring(c, 1, 300)
     rel = relations(tokens).join(sources, "page_id").select(

@@ -73,6 +73,25 @@ def definitions(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts, some.join(restrictions(graph), some["part"] == F.col("r")).select("cls", "on", "filler").distinct()
 
 
+def _small_definitions(rows: list) -> tuple[set, set]:
+    """``definitions`` of an ontology's rows in memory."""
+    owl = lambda name: [(r["s"], r["o"], r["o_kind"]) for r in rows if r["p"] == f"{OWL}{name}"]
+    after = _closed({(r["s"], r["o"]) for r in rows if r["p"] == f"{RDF}rest"})
+    first: dict = {}
+    for r in rows:
+        if r["p"] == f"{RDF}first":
+            first.setdefault(r["s"], set()).add((r["o"], r["o_kind"]))
+    members: dict = {}
+    for x, head, _ in owl("intersectionOf"):
+        for cell in {head} | after.get(head, set()):
+            members.setdefault(x, set()).update(first.get(cell, ()))
+    held = {(cls, m) for cls, x, _ in owl("equivalentClass") for m in members.get(x, ())} | {(x, m) for x, found in members.items() if not x.startswith("_:") for m in found}
+    inner = {(cls, part) for cls, (part, kind) in held if kind == "bnode"} | {(cls, x) for cls, x, kind in owl("equivalentClass") if kind == "bnode" and x not in members}
+    fillers = [(r, f) for r, f, _ in owl("someValuesFrom")] + [(r, None) for name in ("minCardinality", "minQualifiedCardinality") for r, _, _ in owl(name)]
+    some = {(cls, on, filler) for cls, part in inner for r, on, _ in owl("onProperty") if r == part for q, filler in fillers if q == r}
+    return {(cls, part) for cls, (part, kind) in held if kind == "uri"}, some
+
+
 #: Predicates that say something about classes and properties, and kinds of properties.
 VOCABULARY = (SUBCLASS, SUBPROPERTY, DOMAIN, RANGE, EQUIVALENT_PROPERTY, f"{RDF}first", f"{RDF}rest", *(f"{OWL}{n}" for n in ("inverseOf", "equivalentClass", "intersectionOf", "onProperty", "someValuesFrom", "minCardinality", "minQualifiedCardinality")))
 PROPERTY_KINDS = (f"{OWL}SymmetricProperty", f"{OWL}TransitiveProperty")
@@ -190,12 +209,22 @@ def infer(graph: DataFrame, same_as: bool = False) -> DataFrame:
     has_transitive = rows is None or any(r["p"] == TYPE and r["o"] == PROPERTY_KINDS[1] for r in rows)
     has_definitions = has(f"{OWL}equivalentClass", f"{OWL}intersectionOf")
     once = not has_transitive and not same_as
-    if has_definitions:
-        kept = cut if rows is None else lambda df: spark_constant(df)
-        parts, some = (kept(x) for x in definitions(rules))
-        wanted = kept(parts.groupBy("cls").agg(F.count(F.lit(1)).alias("n_parts")).join(some.groupBy("cls").agg(F.count(F.lit(1)).alias("n_some")), "cls", "full").fillna(0))
-        has_definitions = not wanted.isEmpty()
-        once = once and has_definitions and _used_nowhere(wanted, parts, some, classes)
+    if has_definitions and rows is None:
+        parts, some = (cut(x) for x in definitions(rules))
+        wanted = cut(parts.groupBy("cls").agg(F.count(F.lit(1)).alias("n_parts")).join(some.groupBy("cls").agg(F.count(F.lit(1)).alias("n_some")), "cls", "full").fillna(0))
+        has_definitions, once = not wanted.isEmpty(), False
+    elif has_definitions:
+        named_parts, some_parts = _small_definitions(rows)
+        defined = sorted({x[0] for x in named_parts | some_parts})
+        counts = [(c, sum(x[0] == c for x in named_parts), sum(x[0] == c for x in some_parts)) for c in defined]
+        table = lambda x, schema: F.broadcast(graph.sparkSession.createDataFrame(x, schema))
+        parts, some = table(sorted(named_parts), "cls string, part string"), table(sorted(some_parts, key=str), "cls string, on string, filler string")
+        wanted = table(counts, "cls string, n_parts long, n_some long")
+        # One round does where no definition asks for a defined class or one above it.
+        above = _closed({(r["s"], r["o"]) for r in rows if r["p"] == SUBCLASS})
+        asked = {x[1] for x in named_parts} | {x[2] for x in some_parts}
+        has_definitions = bool(defined)
+        once = once and not asked & {up for c in defined for up in {c} | above.get(c, set())} and TYPE not in {x[1] for x in some_parts}
     if not (has_transitive or has_definitions or same_as):
         return closed(facts).select(*SPO).distinct()
 
@@ -221,19 +250,6 @@ def infer(graph: DataFrame, same_as: bool = False) -> DataFrame:
     return saturate(base, step).select(*SPO)
 
 
-def spark_constant(df: DataFrame) -> DataFrame:
-    """A table that a small ontology's rows bound, as a constant of the plan."""
-    return F.broadcast(df.sparkSession.createDataFrame(df.collect(), df.schema))
-
-
-def _used_nowhere(wanted: DataFrame, parts: DataFrame, some: DataFrame, classes: DataFrame) -> bool:
-    """Whether no definition asks for a defined class or one above it."""
-    made = wanted.select(F.col("cls").alias("c"))
-    made = made.unionByName(made.join(classes, made["c"] == classes["o"]).select(F.col("up").alias("c"))).distinct()
-    asked = parts.select(F.col("part").alias("c")).unionByName(some.select(F.col("filler").alias("c"))).where("c is not null").distinct()
-    return made.join(asked, "c", "left_semi").isEmpty() and some.where(F.col("on") == TYPE).isEmpty()
-
-
 def _defined(known: DataFrame, new: DataFrame, parts: DataFrame, some: DataFrame, wanted: DataFrame) -> DataFrame:
     """Types that definitions give to the subjects that something new may concern."""
     part_types = lambda df: df.where(F.col("p") == TYPE).join(parts.select(F.col("part").alias("o"), "cls"), "o").select("s", "cls", "o")

@@ -10,41 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
-from graphloom.operators import align, extract, graph, reason, splits, vectors
-from graphloom.plans.fixpoint import transitive_closure
-from graphloom.plans.sparql import sparql
-from graphloom.sources.rdf import parse_ntriples
-from graphloom.sources.sinks import ntriples_lines
+from graphloom.operators import align, extract, graph, kge, rag, reason, splits, vectors
+from graphloom.plans.fixpoint import scratch, transitive_closure
+from graphloom.plans.registry import add, query, read
+from graphloom.plans.sparql import bindings, sparql
+from graphloom.sources import rdf, sinks, tables
 from graphloom.sources.tables import map_table
 from graphloom.terms import CLASS_KEYWORDS, ENTITY, ONTOLOGY, OWL, PREDICATE_ALIGNMENT, RDFS, RESOURCE, SUBCLASS, TRIPLE_SCHEMA, TYPE
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
 R, O = RESOURCE, ONTOLOGY
 
 
-def query(sql: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 MAPPED = {
     "region": ("r_regionkey", {"r_name": "name"}, {}),
     "nation": ("n_nationkey", {"n_name": "name"}, {"n_regionkey": ("inRegion", "region")}),
@@ -214,19 +190,29 @@ def triple_emission(spark, d):
     return graph.build_graph(_facts(spark, d)).select("s", "p", "o", "o_kind")
 
 
-@query("SELECT ((SELECT count(*) FROM region) * 2 + (SELECT count(*) FROM nation) * 3 + (SELECT count(*) FROM customer) * 4 + (SELECT count(*) FROM supplier) * 3)::BIGINT AS n")
+def graph_sql(*tables: str) -> str:
+    """The triples of ``mapped`` in SQL."""
+    parts = []
+    for t in tables:
+        key, columns, links = MAPPED[t]
+        subject = f"'{R}{t}_' || {key}::VARCHAR"
+        parts.append(f"SELECT {subject} AS s, '{TYPE}' AS p, '{O}{t.capitalize()}' AS o, 'uri' AS o_kind FROM {t}")
+        parts += [f"SELECT {subject}, '{O}{p}', {c}::VARCHAR, 'literal' FROM {t} WHERE {c} IS NOT NULL" for c, p in columns.items()]
+        parts += [f"SELECT {subject}, '{O}{p}', '{R}{other}_' || {c}::VARCHAR, 'uri' FROM {t} WHERE {c} IS NOT NULL" for c, (p, other) in links.items()]
+    return "(" + " UNION ".join(parts) + ")"
+
+
+@query(f"SELECT count(*) AS n FROM {graph_sql(*CORE)}")
 def triple_count(spark, d):
     return graph.merge(mapped(spark, d, *CORE)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "SELECT ((SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + 4)::BIGINT AS n"
-)
+@query(f"SELECT count(*) AS n FROM (SELECT s FROM {graph_sql(*CORE)} UNION SELECT o FROM {graph_sql(*CORE)} WHERE o_kind = 'uri')")
 def distinct_entities(spark, d):
     return graph.entities(mapped(spark, d, *CORE)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 5::BIGINT AS n")
+@query(f"SELECT count(DISTINCT p) AS n FROM {graph_sql(*CORE)}")
 def distinct_relations(spark, d):
     return mapped(spark, d, *CORE).agg(F.count_distinct("p").alias("n"))
 
@@ -320,7 +306,7 @@ def candidate_confidence(spark, d):
 
 
 @query(
-    f"""SELECT '{R}nation_' || n_nationkey::VARCHAR AS local_uri, label, id AS wd_id, wd_label, substring(description, 1, 80) AS wd_description, confidence, {_TIER} AS alignment
+    f"""SELECT '{R}nation_' || n_nationkey::VARCHAR AS local_uri, label, id AS wd_id, wd_label, substring(description, 1, 120) AS wd_description, confidence, {_TIER} AS alignment
     FROM (SELECT *, {_CONF} AS confidence, row_number() OVER (PARTITION BY label ORDER BY rank, id) AS n FROM {_SEARCH}) JOIN nation ON label = n_name WHERE n = 1"""
 )
 def best_candidate(spark, d):
@@ -390,11 +376,11 @@ def expanded_union(spark, d):
     return align.expand_graph(names, links, _neighbours(spark, d), per_entity=None).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS n FROM nation")
+@query(f"SELECT * FROM {graph_sql(*CORE)}")
 def ntriples_round_trip(spark, d):
-    g = mapped(spark, d, "nation")
-    back = parse_ntriples(ntriples_lines(g)).distinct()
-    return back.join(g.where(F.col("p") == f"{O}name"), back.columns, "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch(spark, "graph.nt")
+    sinks.write_ntriples(mapped(spark, d, *CORE), path)
+    return rdf.read_graph(spark, path).select("s", "p", "o", "o_kind")
 
 
 # --- SPARQL ---
@@ -404,7 +390,7 @@ def _ask(name: str, tables: tuple[str, ...], text: str, sql: str) -> None:
     def run(spark, d):
         return sparql(mapped(spark, d, *tables), text)
 
-    _QUERIES[name], _SQL[name] = run, sql
+    add(name, run, sql)
 
 
 _C, _N, _RG, _S, _OR = (f"'{R}{t}_'" for t in ("customer", "nation", "region", "supplier", "orders"))
@@ -523,11 +509,11 @@ def subclass_closure(spark, d):
     return reason.subclass_closure(up.distinct())
 
 
-_NEAR = "(SELECT DISTINCT 'n' || s_nationkey::VARCHAR AS a, 'n' || ((s_nationkey * 7 + s_suppkey) % 25)::VARCHAR AS b FROM supplier WHERE s_suppkey % 6 = 0)"
+_NEAR = "(SELECT DISTINCT 'n' || s_nationkey::VARCHAR AS a, 'n' || ((s_nationkey * 7 + s_suppkey) % 25)::VARCHAR AS b FROM supplier)"
 
 
 def _near(spark, d) -> DataFrame:
-    s = read(spark, d, "supplier").where("s_suppkey % 6 = 0")
+    s = read(spark, d, "supplier")
     n = lambda c: F.concat(F.lit("n"), c.cast("string"))
     return s.select(n(F.col("s_nationkey")).alias("a"), n((F.col("s_nationkey") * 7 + F.col("s_suppkey")) % 25).alias("b")).distinct()
 
@@ -600,29 +586,37 @@ def split_sizes(spark, d):
     return splits.sizes(splits.assign(_order_triples(spark, d)))
 
 
-#: Customers against segments and nations: few terms, so that coverage keeps most rows.
-_SOCIAL = f"(SELECT DISTINCT 'u' || (user_id % 300)::VARCHAR AS s, event_type AS p, 'v' || (event_id % 250)::VARCHAR AS o FROM events)"
+#: Users by the hours and the kinds of their events: a graph that grows with the events.
+_SOCIAL = "(SELECT DISTINCT 'u' || user_id::VARCHAR AS s, event_type AS p, 'h' || (user_id % 7)::VARCHAR || '_' || strftime(ts, '%Y-%m-%d %H') AS o FROM events)"
 _SOCIAL_SPLIT = _SPLIT.replace(_TRIPLES, _SOCIAL)
 _ENDS = lambda t: f"(SELECT s AS e FROM {t} UNION SELECT o FROM {t})"
 
 
 def _social(spark, d) -> DataFrame:
     e = read(spark, d, "events")
-    return e.select(F.concat(F.lit("u"), (F.col("user_id") % 300).cast("string")).alias("s"), F.col("event_type").alias("p"), F.concat(F.lit("v"), (F.col("event_id") % 250).cast("string")).alias("o")).distinct()
+    hour = F.concat(F.lit("h"), (F.col("user_id") % 7).cast("string"), F.lit("_"), F.date_format("ts", "yyyy-MM-dd HH"))
+    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("s"), F.col("event_type").alias("p"), hour.alias("o")).distinct()
 
 
-@query(
-    f"""WITH sp AS {_SOCIAL_SPLIT}, tr AS (SELECT s, p, o FROM sp WHERE split = 'train'), v AS (SELECT s, p, o, s IN (SELECT e FROM {_ENDS("tr")}) AND o IN (SELECT e FROM {_ENDS("tr")}) AND p IN (SELECT p FROM tr) AS ok FROM sp WHERE split = 'valid'),
+_RESCUED = f"""WITH sp AS {_SOCIAL_SPLIT}, tr AS (SELECT s, p, o FROM sp WHERE split = 'train'), v AS (SELECT s, p, o, s IN (SELECT e FROM {_ENDS("tr")}) AND o IN (SELECT e FROM {_ENDS("tr")}) AND p IN (SELECT p FROM tr) AS ok FROM sp WHERE split = 'valid'),
     t2 AS (SELECT * FROM tr UNION ALL SELECT s, p, o FROM v WHERE NOT ok), te AS (SELECT s, p, o, s IN (SELECT e FROM {_ENDS("t2")}) AND o IN (SELECT e FROM {_ENDS("t2")}) AND p IN (SELECT p FROM t2) AS ok FROM sp WHERE split = 'test')
     SELECT s, p, o, 'train' AS split FROM t2 UNION ALL SELECT s, p, o, 'train' FROM te WHERE NOT ok UNION ALL SELECT s, p, o, 'valid' FROM v WHERE ok UNION ALL SELECT s, p, o, 'test' FROM te WHERE ok"""
-)
+
+
+@query(_RESCUED)
 def coverage_rescue(spark, d):
     return splits.enforce_coverage(splits.assign(_social(spark, d)))
 
 
-@query("SELECT 0::BIGINT AS n")
+_HELD = "(SELECT s AS entity FROM %s WHERE split <> 'train' UNION SELECT o FROM %s WHERE split <> 'train') EXCEPT (SELECT s FROM %s WHERE split = 'train' UNION SELECT o FROM %s WHERE split = 'train')"
+
+
+@query(f"WITH raw AS {_SOCIAL_SPLIT}, kept AS ({_RESCUED}) SELECT (SELECT count(*) FROM ({_HELD.replace('%s', 'raw')})) AS before, (SELECT count(*) FROM ({_HELD.replace('%s', 'kept')})) AS after")
 def orphan_check(spark, d):
-    return splits.orphans(splits.enforce_coverage(splits.assign(_social(spark, d)))).agg(F.count(F.lit(1)).alias("n"))
+    """Orphans of the plain split and of the one with coverage (none)."""
+    given = splits.assign(_social(spark, d))
+    n = lambda split, name: splits.orphans(split).agg(F.count(F.lit(1)).alias(name))
+    return n(given, "before").crossJoin(F.broadcast(n(splits.enforce_coverage(given), "after")))
 
 
 @query(f"SELECT s, p, o FROM {_TRIPLES} ORDER BY {_KEY} LIMIT 100")
@@ -728,11 +722,13 @@ def extract_sparql_text(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", tx.extract_sparql(F.concat(F.lit("Sure.\n"), body)).alias("query"))
 
 
-@query("SELECT n_regionkey AS region, string_agg('  name: ' || n_name || ' | key: ' || n_nationkey::VARCHAR, chr(10) ORDER BY n_nationkey) AS answer FROM nation GROUP BY 1")
+@query(
+    "SELECT string_agg('  name: ' || p_name || ' | size: ' || p_size::VARCHAR, chr(10) ORDER BY p_size DESC, p) FILTER (i <= 10) || chr(10) || '  … and ' || (count(*) - 10)::VARCHAR || ' more results' AS answer "
+    f"FROM (SELECT *, '{R}part_' || p_partkey::VARCHAR AS p, row_number() OVER (ORDER BY p_size DESC, '{R}part_' || p_partkey::VARCHAR) AS i FROM part)"
+)
 def format_results_text(spark, d):
-    line = F.concat(F.lit("  name: "), "n_name", F.lit(" | key: "), F.col("n_nationkey").cast("string"))
-    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line"))))
-    return read(spark, d, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("answer"))
+    found = sparql(mapped(spark, d, "part"), "SELECT ?name ?size WHERE { ?p skg-o:name ?name ; skg-o:size ?size } ORDER BY DESC(?size) ?p")
+    return spark.createDataFrame([(rag.format_results(bindings(found, 11), total=found.count()),)], "answer string")
 
 
 @query("SELECT conv_id, turn, substring(replace(replace(text, chr(10), ' '), '|', '/'), 1, 120) AS cell FROM conversations")

@@ -46,6 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(spark, name: str) -> str:
+    """A path of its own in the shared folder, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    where, files = _file_system(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{path}/{name}"
+
+
 def forget(df: DataFrame) -> None:
     """Delete a cut table that no plan will read again."""
     where, files = _file_system(df.sparkSession, df.cut_path)

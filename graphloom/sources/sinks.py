@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.fixpoint import cut
 from graphloom.terms import PREFIXES, TYPE
 
 
@@ -69,36 +69,50 @@ def turtle_blocks(triples: DataFrame) -> DataFrame:
 
 
 def write_turtle(triples: DataFrame, path: str) -> None:
-    """One Turtle file (a header, then a block per subject, streamed to the driver); for small graphs such
-    as ontologies and alignments."""
-    with open(path, "w", encoding="utf-8") as out:
-        out.writelines(f"@prefix {p}: <{ns}> .\n" for p, ns in PREFIXES.items())
-        out.write("\n")
-        out.writelines(row["value"] + "\n" for row in turtle_blocks(triples).orderBy("value").toLocalIterator())
+    """One Turtle file (a header, then a block per subject, streamed through the driver); for small graphs
+    such as ontologies and alignments."""
+
+    def chunks() -> Iterable[str]:
+        yield "".join(f"@prefix {p}: <{ns}> .\n" for p, ns in PREFIXES.items()) + "\n"
+        for row in turtle_blocks(triples).orderBy("value").toLocalIterator():
+            yield row["value"] + "\n"
+
+    save_text(triples.sparkSession, chunks(), path)
+
+
+def save_text(spark: SparkSession, chunks: Iterable[str], path: str) -> None:
+    """A file of the cluster's file system (or a local one, by its URI), replaced once the new one is whole."""
+    jvm = spark._jvm
+    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(new, True)
+    try:
+        for chunk in chunks:
+            out.write(bytearray(chunk.encode("utf-8")))
+    finally:
+        out.close()
+    files.delete(target, True)
+    if not files.rename(new, target):
+        raise OSError(f"couldn't replace {path}")
 
 
 def append_graph(spark, path: str, more: DataFrame) -> int:
     """Union ``more`` into a Turtle file; returns the triples it then holds. The file is replaced once the
     new one is whole."""
     from graphloom.sources.rdf import read_graph
+    from graphloom.sources.tables import exists
 
-    target = Path(path)
-    whole = (read_graph(spark, path).unionByName(more) if target.exists() else more).distinct().cache()
-    write_turtle(whole, f"{path}.new")
-    n = whole.count()
-    Path(f"{path}.new").replace(target)
-    whole.unpersist()
-    return n
+    whole = cut((read_graph(spark, path).unionByName(more) if exists(spark, path) else more).distinct())
+    write_turtle(whole, path)
+    return whole.count()
 
 
-def write_json(report: dict | list, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False), encoding="utf-8")
+def write_json(spark: SparkSession, report: dict | list, path: str) -> None:
+    save_text(spark, [json.dumps(report, indent=2, ensure_ascii=False)], path)
 
 
-def write_text(text: str, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    save_text(spark, [text], path)
 
 
 def cell(text: str, longest: int = 120) -> str:

@@ -70,7 +70,7 @@ def read_metrics(spark: SparkSession, path: str | list[str], model: str) -> Data
     """One row of ranking metrics from a JSON document (of several paths, the first that there is): nested
     keys, else flat ones; null where absent."""
     paths = [path] if isinstance(path, str) else path
-    found = next((p for p in paths if _exists(spark, p)), None)
+    found = next((p for p in paths if exists(spark, p)), None)
     if found is None:
         raise FileNotFoundError(f"none of {', '.join(paths)}")
     text = spark.read.text(found, wholetext=True)
@@ -80,7 +80,7 @@ def read_metrics(spark: SparkSession, path: str | list[str], model: str) -> Data
     return text.select(F.lit(model).alias("model"), *[c.alias(n) for n, c in (mrr | hits).items()])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
