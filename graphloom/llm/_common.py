@@ -74,7 +74,8 @@ def filter_batches(owner: str, docs: DataFrame, text_col: str, keep) -> DataFram
         for batch, chosen in keep(batches, place):
             yield batch.filter(pa.array(chosen))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # Arrow functions don't take names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 #: What this Python worker keeps between tasks, by operator.

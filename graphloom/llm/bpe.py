@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import Kept, pick, worker, worker_cache
@@ -225,7 +226,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
                 part = batch.slice(at, len(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -239,15 +240,17 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_i
             texts = [encoder.decode(x.as_py() or b"") for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "bytes"])
 
-    return pick(encoded, doc_id=id_col, ids=ids_col).mapInArrow(run, "doc_id long, bytes binary")
+    return pick(encoded, doc_id=id_col, ids=ids_col).mapInArrow(run, f"doc_id {encoded.schema[id_col].dataType.simpleString()}, bytes binary")
 
 
 def with_ids(docs: DataFrame, ranks: str, pattern: str, *, text_col: str = "text") -> DataFrame:
     """``docs``, all columns as they are, with ``n_tokens`` and ``ids``. Every text is decoded again and
-    compared; one that doesn't come back fails the task. Columns of these names are replaced."""
+    compared; one that doesn't come back fails the task. Columns of these names are replaced. Null and
+    empty texts have no ids; repeated rows are encoded each; an empty table stays empty."""
     key = f"bpe:{ranks}"
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids")]
-    place = kept.index(text_col)
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])  # Arrow functions don't take names with dots
+    place, names = kept.index(text_col), [*docs.columns, "n_tokens", "ids"]
 
     @worker(key)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,14 +261,17 @@ def with_ids(docs: DataFrame, ranks: str, pattern: str, *, text_col: str = "text
                 texts = [t or "" for t in part.column(place).to_pylist()]
                 if any(encoder.decode(x) != t.encode("utf-8") for x, t in zip(ids, texts, strict=True)):
                     raise ValueError("a text doesn't come back from its ids")
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*kept, "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=names)
 
-    schema = T.StructType([*docs.select(kept).schema, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.select(kept).mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    return docs.mapInArrow(run, schema).toDF(*kept, "n_tokens", "ids")
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass, keeping digests: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+    """Encode and decode in one pass, keeping digests: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+
+    Rows are as in ``encode``: null and empty texts have no ids and no bytes, whose digests are those of
+    nothing; repeated rows give repeated results; an empty table gives none."""
     key = f"bpe:{ranks}"
 
     @worker(key)
@@ -279,4 +285,4 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_
                 b += [hashlib.sha256(encoder.decode(ids)).hexdigest() for ids in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

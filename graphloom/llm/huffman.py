@@ -292,8 +292,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, id_col: st
     """Write the ids of all texts, each followed by ``end_id``, to a file set at ``path``.
 
     Null texts are empty and give the end id alone; equal doc_ids stay neighbours, in order of
-    length; null doc_ids come first; an empty table makes an empty file set. Texts are tokenised
-    once; what is dealt by id range is compressed ids. The driver holds one count per vocabulary
+    length; null doc_ids come first; an empty table makes an empty file set; other columns play no part.
+    Ids are long. Texts are tokenised once; what is dealt by id range is compressed ids. The driver holds one count per vocabulary
     entry and one total per part."""
     spark = docs.sparkSession
     texts = pick(docs, doc_id=id_col, text=text_col)
@@ -341,18 +341,26 @@ def _reader(lengths: np.ndarray, emit, names: list[str], kinds: list[pa.DataType
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of a file set: ``doc_id, start, n_tokens, ids`` (array)."""
+    """Per document of a file set: ``doc_id, start, n_tokens, ids`` (array), in no order. Null and repeated
+    doc_ids come back as they were written; an empty file set has no rows. A task holds one block."""
     blocks, lengths = _decoded(spark, path)
     names = ["doc_id", "start", "n_tokens", "ids"]
     return blocks.mapInArrow(_reader(lengths, lambda x: x.astype(np.int64), names, [pa.list_(pa.int64())]), "doc_id long, start long, n_tokens long, ids array<long>")
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of a file set: ``doc_id, start, n_tokens, ids_crc32``."""
+    """Per document of a file set: ``doc_id, start, n_tokens, ids_crc32`` (unsigned, of the ids as
+    little-endian unsigned 32-bit integers); rows as in ``read``."""
     blocks, lengths = _decoded(spark, path)
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     return blocks.mapInArrow(_reader(lengths, lambda x: zlib.crc32(x.astype("<u4").tobytes()), names, [pa.int64()]), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, which goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path

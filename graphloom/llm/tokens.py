@@ -157,5 +157,5 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
     texts = pick(docs, doc_id=id_col, text=text_col)
-    counted = texts.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    counted = texts.mapInArrow(count, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -606,6 +606,43 @@ def test_foreign_texts_and_noise_are_rejected(spark, docs):
     assert all(got[i]["rejected"] for i in range(4))
 
 
+# --- edges of every stage ---
+
+
+def test_stages_on_empty_tables_and_odd_columns(spark, edge):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    empty = edge.limit(0)
+    for stage in (langid.keep_identified, jaccard.keep_representatives, pii.redact, lambda d: decontaminate.drop_contaminated(d, d.limit(0))):
+        out = stage(empty)
+        assert out.columns == edge.columns and out.count() == 0
+    assert bpe.with_ids(empty, path, public_tokenizers.PATTERN).count() == 0
+    assert tokens.token_counts(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    odd = edge.selectExpr("*", "5 as n_tokens", "doc_id as hits", "text as found", "'x' as `a.b`", "map('k', 1) as tags")
+    for stage in (pii.redact, lambda d: decontaminate.drop_contaminated(d, d.selectExpr("doc_id as item_id", "cast(null as string) as text"))):
+        assert stage(odd).columns == odd.columns and stage(odd).count() == odd.count()
+    assert bpe.with_ids(odd, path, public_tokenizers.PATTERN).columns == [*(c for c in odd.columns if c != "n_tokens"), "n_tokens", "ids"]
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", "the cat sat"), (None, None), ("b", "password = 'abcdefghijkl'")], "doc_id string, text string").selectExpr("*", "'s' as source", "'en' as lang")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    made = [
+        decontaminate.contamination(df, df.selectExpr("doc_id as item_id", "text")), tokens.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")), secrets.scan(df), pii.detect(df),
+        bpe.encode(df, path, public_tokenizers.PATTERN), bpe.round_trip(df, path, public_tokenizers.PATTERN), langid.identify(df, langid.learn(df)),
+    ]
+    for out in made:
+        assert sorted(str(r["doc_id"]) for r in out.collect()) == ["None", "a", "b"]
+
+
+def test_token_files_hold_null_and_repeated_ids(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, "one two"), (3, "cat"), (3, "a longer text"), (None, None), (1, "")]
+    huffman.write(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as part", "'x' as ids"), str(tmp_path / "f"), path, end_id=2)
+    got = huffman.read(spark, str(tmp_path / "f")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, 1, 3, 3] and [len(r["ids"]) for r in got] == [r["n_tokens"] for r in got]
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist() and all(r["ids"][-1] == 2 for r in got)
+
+
 # --- long texts ---
 
 
