@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import inspect
 import tempfile
 
@@ -34,6 +35,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files and checkpoints of plans that nothing refers to any
+    more. The cleaner works when the driver's heap is collected, which may not be before a job's end."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

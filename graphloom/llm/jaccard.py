@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_IDS, materialize, parallelism, pick, rows_of, without_ids, worker
+from ._common import BROADCAST_IDS, materialize, parallelism, pick, release, rows_of, without_ids, worker
 from ._components import components
 from ._text import U64, Words, byte_class, grams, mix, text_slices
 
@@ -362,6 +362,7 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     shared = packed.groupBy("slot").applyInArrow(_shared(parts), _PACKED)
     table = materialize(shared.groupBy("slot").applyInArrow(_prefixes(top, bottom), _PREFIX))
     del packed, shared
+    release(spark)  # the dealt n-grams are the largest thing on disk
 
     rows = table.where("kind = 0").select("doc_id", "node", "size")
     postings = table.where("kind = 1").select("token", "node", "size", "pos", "place")

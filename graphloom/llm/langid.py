@@ -1,6 +1,7 @@
 """Language identification by nearest centroid.
 
-A text is a normalised TF-IDF vector of hashed letter n-grams (one to three bytes, lower case). Each
+A text is a normalised TF-IDF vector of hashed letter n-grams (one to three bytes, lower case) of its words;
+addresses, numbers and keys don't count. Each
 language has several centroids, from spherical k-means over a bounded sample of labelled texts, which is
 drawn and clustered where the data is: the driver gets centroids alone. A text
 gets the language of the centroid nearest by cosine, and is rejected where even that one is too far for
@@ -35,6 +36,23 @@ _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
 
 
+#: Bytes that words of no language hold: digits, @, _, /, =.
+_ODD_BYTE = np.zeros(256, bool)
+_ODD_BYTE[[*range(48, 58), 64, 95, 47, 61]] = True
+
+
+def _prose(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes of texts, with spaces for addresses, numbers, keys and the like: all that stands between
+    white space and holds an odd byte."""
+    word = (data <= 32).astype(np.int32)
+    begin = offsets[:-1]
+    word[begin[begin < len(data)]] = 1  # a text begins a word
+    word = np.cumsum(word, dtype=np.int32)
+    odd = np.zeros(int(word[-1]) + 1, bool)
+    odd[word[_ODD_BYTE[data]]] = True
+    return np.where(odd[word], np.uint8(32), data)
+
+
 def _codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature of the one, two and three bytes from each position on (0: nothing but spaces)."""
     b = LOWER[data]
@@ -60,6 +78,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         if not len(data):
             yield first, np.zeros((len(offsets) - 1, DIMENSIONS), np.float32)
             continue
+        data = _prose(data, offsets)
         if len(offsets) == 2:
             total = np.zeros((1, DIMENSIONS), np.float32)
             for a in range(0, len(data), SLICE_BYTES):

@@ -599,6 +599,14 @@ def test_every_language_is_learned_and_copies_count_once(spark, docs):
     assert np.allclose(few.centers, again.centers, atol=1e-5)
 
 
+def test_addresses_and_keys_do_not_count(spark, docs):
+    model = langid.learn(docs)
+    plain = [r["text"][:60].rpartition(" ")[0] for r in docs.where("lang = 'fr' and text rlike '^[^0-9@_/=]{60}'").orderBy("doc_id").limit(5).collect()]
+    noisy = [f"x9@mail9.example.com {t} 64.208.75.227 token=6cfd1f1f244d4c4c327ecfd8fd9898497c475388 {t}" for t in plain]
+    got = by_id(langid.identify(spark.createDataFrame(list(enumerate([f"{t} {t}" for t in plain] + noisy)), "doc_id long, text string"), model))
+    assert plain and all(abs(got[i]["score"] - got[i + len(plain)]["score"]) < 0.05 and not got[i + len(plain)]["rejected"] for i in range(len(plain)))
+
+
 def test_foreign_texts_and_noise_are_rejected(spark, docs):
     model = langid.learn(docs)
     foreign = ["Сегодня хорошая погода и мы гуляем в парке с детьми", "今天天气很好我们去公园散步然后回家吃饭", "ذهبنا إلى الحديقة اليوم مع الأطفال", "qzx wvk jjq xxz " * 40, "a1 " * 3]
