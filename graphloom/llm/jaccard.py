@@ -357,7 +357,7 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found, total = measure(texts, n)
     heavy = spark.sparkContext.broadcast(found)
     parts = max(parallelism(spark), -(-total // TASK_TOKENS))
-    buckets = 1 << max(4, (2 * parts - 1).bit_length())
+    buckets = 1 << max(4, (parts - 1).bit_length())  # a set is named in every bucket, so no more than needed
     packed = texts.mapInArrow(_sets(n, buckets, parts, heavy), _PACKED)
     shared = packed.groupBy("slot").applyInArrow(_shared(parts), _PACKED)
     table = materialize(shared.groupBy("slot").applyInArrow(_prefixes(top, bottom), _PREFIX))
