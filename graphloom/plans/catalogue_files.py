@@ -10,7 +10,7 @@ from graphloom.operators import align, graph, kge, splits
 from graphloom.plans.catalogue import CORE, _order_triples, _SPLIT, graph_sql, mapped
 from graphloom.plans.fixpoint import scratch
 from graphloom.plans.registry import query, read
-from graphloom.sources import rdf, sinks, tables
+from graphloom.sources import rdf, remote, sinks, tables
 from graphloom.terms import ENTITY, ONTOLOGY, OWL, RESOURCE, TYPE
 
 R, O = RESOURCE, ONTOLOGY
@@ -175,6 +175,23 @@ def neighbour_response_parse(spark, d):
     return align.parse_bindings(fine.unionByName(broken))
 
 
+def _opened(address: str, headers: dict, seconds: float) -> tuple[int, str]:
+    """A server of this catalogue's: every fourth page is gone, every fifth one breaks the connection."""
+    k = int(address.rsplit("/", 1)[-1])
+    if k % 4 == 0:
+        return 404, ""
+    if k % 5 == 0:
+        raise ConnectionError("reset")
+    return 200, f"<p>page {k}</p>"
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 OR page_id % 5 = 0 THEN NULL ELSE '<p>page ' || page_id::VARCHAR || '</p>' END AS body, CASE WHEN page_id % 4 = 0 THEN 'status 404' WHEN page_id % 5 = 0 THEN 'ConnectionError: reset' END AS error FROM pages")
+def fetch_pages(spark, d):
+    """Pages from a server that is gone for some and broken for others: rows with errors, tried again or not."""
+    addresses = read(spark, d, "pages").select("page_id", F.concat(F.lit("http://x/"), F.col("page_id").cast("string")).alias("url"))
+    return remote.fetch(addresses, opener=_opened, wait=lambda seconds: None).drop("url")
+
+
 @query("SELECT vec_id AS id, 'v' || vec_id::VARCHAR AS label, list_sum([x::DOUBLE for x in embedding])::DOUBLE AS total FROM embeddings")
 def model_tables(spark, d):
     """Embeddings with their id map as a model's tables, loaded and shown again."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
 from graphloom.operators import extract, rag, reason
-from graphloom.plans.catalogue import CORE, W, _ask, _rules, _triples, mapped
+from graphloom.plans.catalogue import CORE, W, _ask, _rules, _triples, graph_sql, mapped
 from graphloom.plans.registry import query, read
 from graphloom.terms import ENTITY_STOPWORDS, ONTOLOGY, OWL, PRONOUNS, QUESTIONS, RDFS, RESOURCE, SAME_AS, SKIPPED_VERBS, TARGET_LABELS, TRIPLE_SCHEMA, TYPE
 
@@ -240,3 +240,14 @@ def sparql_dates_and_languages(spark, d):
     g = row("u:date", date, F.lit("")).unionByName(row("u:name", F.col("n_name"), lang))
     text = "SELECT (STRAFTER(STR(?s), ':') AS ?n) (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (LANGMATCHES(LANG(?l), 'en') AS ?english) WHERE { ?s x:date ?d ; x:name ?l FILTER(LANG(?l) != 'fr') }"
     return sparql(g, text, {"x": "u:"})
+
+
+_ask("sparql_ask", ("nation", "region"), f"ASK {{ ?n skg-o:inRegion <{R}region_1> }}", "SELECT (count(*) > 0)::VARCHAR AS answer FROM nation WHERE n_regionkey = 1")
+_ask(
+    "sparql_construct", ("nation", "region"), "CONSTRUCT { ?r skg-o:holds ?n ; skg-o:label ?name } WHERE { ?n skg-o:inRegion ?r ; skg-o:name ?name }",
+    f"SELECT DISTINCT *, 'uri' AS s_kind, '' AS o_datatype, '' AS o_lang FROM (SELECT {_REG} AS s, '{O}holds' AS p, {_NAT} AS o, 'uri' AS o_kind FROM nation UNION ALL SELECT {_REG}, '{O}label', n_name, 'literal' FROM nation)",
+)
+_ask(
+    "sparql_describe", ("nation", "region", "supplier"), f"DESCRIBE ?n <{R}region_0> WHERE {{ ?n skg-o:inRegion <{R}region_1> }}",
+    f"SELECT s, p, o, o_kind, 'uri' AS s_kind, '' AS o_datatype, '' AS o_lang FROM {graph_sql('nation', 'region')} WHERE s IN (SELECT {_NAT} FROM nation WHERE n_regionkey = 1) OR s = '{R}region_0'",
+)

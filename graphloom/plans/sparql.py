@@ -1,4 +1,4 @@
-"""SPARQL SELECT as DataFrame plans.
+"""SPARQL queries as DataFrame plans.
 
 Every variable is a column of term structs (null: unbound). A basic graph pattern becomes self-joins
 of the triple table on shared variables, most selective and connected pattern first; each scan keeps
@@ -318,6 +318,38 @@ class Lowering:
             df = df.limit(query.limit)
         return Solutions(df.select(*names), names, {n for n in names if n in found.sure})
 
+    def construct(self, query: Select) -> DataFrame:
+        """The template's triples for every solution, as a set; those with an unbound or misplaced term are
+        left out. A blank node of the template is a new one for each distinct solution."""
+        found = self.select(query)
+        base = self.frame(found)
+        row = F.xxhash64(*[F.to_json(F.struct(F.col(n))) for n in found.names]) if found.names else F.lit(0)
+
+        def made(x) -> Column:
+            if isinstance(x, Const):
+                return constant(x.kind, x.value, x.datatype, x.lang)
+            if x.name.startswith("__"):
+                return term(F.lit("bnode"), F.concat(F.lit(f"_:{x.name.strip('_')}x"), F.hex(row)), F.lit(""), F.lit(""))
+            return F.col(x.name) if x.name in found.names else F.lit(None).cast(TERM_TYPE)
+
+        rows = base.select(F.explode(F.array(*[F.struct(made(s).alias("s"), made(p).alias("p"), made(o).alias("o")) for s, p, o in query.template])).alias("t"))
+        fine = rows.where((F.col("t.s.kind") != "literal") & (F.col("t.p.kind") == "uri") & F.col("t.o").isNotNull())
+        return fine.select(
+            F.col("t.s.value").alias("s"), F.col("t.s.kind").alias("s_kind"), F.col("t.p.value").alias("p"), F.col("t.o.value").alias("o"), F.col("t.o.kind").alias("o_kind"),
+            F.col("t.o.datatype").alias("o_datatype"), F.col("t.o.lang").alias("o_lang"),
+        ).distinct()
+
+    def describe(self, query: Select) -> DataFrame:
+        """All triples about the things that are named or found: those that they are subjects of."""
+        found = self.select(query) if query.where.elements else self.unit()
+        wanted = query.template or [Var(n) for n in found.names]
+        parts = [self.spark.createDataFrame([(x.value, x.kind)], "s string, s_kind string") for x in wanted if isinstance(x, Const)]
+        parts += [found.df.select(F.col(x.name)["value"].alias("s"), F.col(x.name)["kind"].alias("s_kind")) for x in wanted if isinstance(x, Var) and x.name in found.names]
+        if not parts:
+            return self.triples.limit(0)
+        things = reduce(DataFrame.unionByName, parts).where("s_kind <> 'literal'").distinct()
+        return self.triples.join(things, ["s", "s_kind"], "left_semi").select(*self.triples.columns).distinct()
+
     def aggregate(self, query: Select, found: Solutions, items: list) -> tuple[Solutions, list, list]:
         keys, key_names = [], []
         for i, (e, name) in enumerate(query.group_by):
@@ -521,11 +553,20 @@ def number_term(c: Column, kind: str) -> Column:
 
 
 def sparql(triples: DataFrame, text: str, prefixes: dict[str, str] | None = None, predicate_counts: dict[str, int] | None = None) -> DataFrame:
-    """Answer a SELECT query over a triple table: one string column per variable, null where unbound.
+    """Answer a query over a triple table. SELECT: one string column per variable, null where unbound; ASK:
+    one row, ``answer``, of true or false; CONSTRUCT and DESCRIBE: a graph, as a triple table.
 
     ``predicate_counts`` (from the graph's own statistics) orders joins; any or none gives the same rows."""
     query = parse(text, PREFIXES | (prefixes or {}))
-    found = Lowering(triples, predicate_counts).select(query)
+    lowering = Lowering(triples, predicate_counts)
+    if query.form == "CONSTRUCT":
+        return lowering.construct(query)
+    if query.form == "DESCRIBE":
+        return lowering.describe(query)
+    found = lowering.select(query)
+    if query.form == "ASK":
+        some = lowering.frame(found).select(F.lit(1).alias("x")).limit(1)
+        return some.agg((F.count("x") > 0).cast("string").alias("answer"))
     return found.df.select(*[F.col(n)["value"].alias(n) for n in found.names])
 
 

@@ -57,6 +57,8 @@ class Select:
     order_by: list = field(default_factory=list)  # (expression, descending)
     limit: int | None = None
     offset: int = 0
+    form: str = "SELECT"  # or ASK, CONSTRUCT, DESCRIBE
+    template: list = field(default_factory=list)  # CONSTRUCT: triples; DESCRIBE: variables and constants
 
 
 AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE", "GROUP_CONCAT"}
@@ -129,13 +131,37 @@ class Parser:
             if not name.endswith(":") or iri[0] != "iri":
                 raise SparqlError("bad PREFIX")
             self.prefixes[name[:-1]] = iri[1][1:-1]
-        if self.peek()[1].upper() in ("ASK", "CONSTRUCT", "DESCRIBE"):
-            raise SparqlError("only SELECT queries are answered")
-        query = self.select()
+        form = self.word("ASK", "CONSTRUCT", "DESCRIBE")
+        query = getattr(self, form.lower())() if form else self.select()
         if self.peek()[0] != "end":
             raise SparqlError(f"unexpected {self.peek()[1]!r}")
         return query
 
+    def ask(self) -> Select:
+        self.word("WHERE")
+        return self.modifiers(Select(None, self.group(), form="ASK"))
+
+    def construct(self) -> Select:
+        template = None if self.word("WHERE") else self.group()
+        if template is not None:
+            self.need("WHERE")
+        where = self.group()
+        triples = (template or where).elements
+        if any(e[0] != "triple" for e in triples) or any(not isinstance(e[2], (Var, Const)) for e in triples):
+            raise SparqlError("a template holds plain triples")
+        return self.modifiers(Select(None, where, form="CONSTRUCT", template=[e[1:] for e in triples]))
+
+    def describe(self) -> Select:
+        wanted: list = []
+        if not self.op("*"):
+            while self.peek()[0] in ("var", "iri", "pname") or (self.peek()[0] == "name" and ":" in self.peek()[1]):
+                wanted.append(self.node())
+            if not wanted:
+                raise SparqlError("nothing is described")
+        has_where = self.word("WHERE") or self.peek()[1] == "{"
+        where = self.group() if has_where else Group()
+        return self.modifiers(Select(None, where, form="DESCRIBE", template=wanted))
+
     def select(self) -> Select:
         self.need("SELECT")
         distinct = self.word("DISTINCT", "REDUCED") == "DISTINCT"
@@ -161,7 +187,9 @@ class Parser:
             if not items:
                 raise SparqlError("nothing is selected")
         self.word("WHERE")
-        query = Select(items, self.group(), distinct)
+        return self.modifiers(Select(items, self.group(), distinct))
+
+    def modifiers(self, query: Select) -> Select:
         if self.word("GROUP"):
             self.need("BY")
             while True:

@@ -176,3 +176,27 @@ def test_facts_are_counted_before_the_choice(spark):
     pages = spark.createDataFrame([(i, "u", "A", "Later Neil Armstrong commanded Apollo 11.") for i in range(3)], "page_id long, url string, title string, text string")
     seen = Observation()
     assert extract.facts(pages, counters=seen).count() < seen.get["relations"] + seen.get["mentions"]
+
+
+def test_fetching_tries_again_and_reports(spark):
+    from graphloom.sources import remote
+
+    tried, waits = [], []
+
+    def opener(address, headers, seconds):
+        tried.append(address)
+        if address == "busy":
+            return (200, "ok") if len(tried) == 3 else (429, "")
+        if address == "gone":
+            return 404, ""
+        raise TimeoutError("slow")
+
+    assert remote.fetched("busy", opener, wait=waits.append) == ("ok", None) and waits == [2.0, 4.0]
+    assert remote.fetched("gone", opener, wait=waits.append) == (None, "status 404") and tried.count("gone") == 1
+    assert remote.fetched("x", opener, wait=waits.append) == (None, "TimeoutError: slow") and tried.count("x") == 3
+    df = spark.createDataFrame([("a", 1), (None, 2)], "url string, k int")
+    got = {r["k"]: (r["body"], r["error"]) for r in remote.fetch(df, opener=lambda u, h, s: (200, u.upper())).collect()}
+    assert got == {1: ("A", None), 2: (None, "no address")}
+    urls = remote.search_addresses(spark.createDataFrame([("Apollo 11",)], "label string"), "http://s").first()["url"]
+    assert urls.endswith("limit=5&search=Apollo+11")
+    assert "wd%3AQ1+%3Fprop" in remote.neighbour_addresses(spark.createDataFrame([("Q1",)], "qid string"), "http://s").first()["url"]

@@ -65,7 +65,7 @@ def test_constructs(mini, text, answer):
     assert ask(mini, text) == sorted(answer)
 
 
-@pytest.mark.parametrize("text", ["", "SELECT", "SELECT ?x WHERE { ?x ?y }", "ASK { ?s ?p ?o }", "SELECT ?x WHERE { ?x nope:p ?y }", "SELECT ?x { ?x a ?t } LIMIT x", "SELECT (FROB(?x) AS ?y) WHERE { ?x a ?t }"])
+@pytest.mark.parametrize("text", ["", "SELECT", "SELECT ?x WHERE { ?x ?y }", "ASK", "CONSTRUCT { ?s ?p ?o OPTIONAL { ?a ?b ?c } } WHERE { ?s ?p ?o }", "DESCRIBE WHERE { ?s ?p ?o }", "SELECT ?x WHERE { ?x nope:p ?y }", "SELECT ?x { ?x a ?t } LIMIT x", "SELECT (FROB(?x) AS ?y) WHERE { ?x a ?t }"])
 def test_errors(mini, text):
     with pytest.raises(SparqlError):
         sparql(mini, text)
@@ -119,6 +119,15 @@ def test_the_driver_gets_a_bounded_answer(mini):
     assert "skg-o:launchedBy" in rag.prompt("q?", "  skg-o:launchedBy    4 triples") and "Question: q?" in rag.prompt("q?", "")
 
 
+def test_other_forms(mini):
+    assert ask(mini, "ASK { skg-r:SpaceX a skg-o:SpaceAgency }") == [("true",)] and ask(mini, "ASK WHERE { skg-r:SpaceX a skg-o:Telescope }") == [("false",)]
+    made = sparql(mini, "CONSTRUCT { ?o skg-o:crewOf ?m . ?m skg-o:has [ skg-o:is ?o ] } WHERE { ?m skg-o:hasAstronaut ?o }")
+    assert made.columns == mini.columns and made.count() == 9 and made.where("s_kind = 'bnode'").count() == 3
+    assert sparql(mini, "CONSTRUCT WHERE { ?s skg-o:partOf ?o }").count() == 2 and sparql(mini, "CONSTRUCT { ?l a ?s } WHERE { ?s rdfs:label ?l }").count() == 0
+    assert sparql(mini, "DESCRIBE skg-r:SpaceX").count() == 4 and sparql(mini, "DESCRIBE ?t WHERE { ?t a skg-o:Telescope }").count() == 6
+    assert sparql(mini, "DESCRIBE * WHERE { ?t skg-o:size ?n }").count() == 4
+
+
 def test_joins_use_equal_keys(mini):
     plan = sparql(mini, "SELECT ?a WHERE { ?m skg-o:hasAstronaut ?a . ?m a ?t . ?a rdfs:label ?l }")._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in plan and plan.count("Join Inner") == 2
