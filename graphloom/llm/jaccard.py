@@ -359,8 +359,9 @@ def join_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     parts = max(parallelism(spark), -(-total // TASK_TOKENS))
     buckets = 1 << max(4, (parts - 1).bit_length())  # a set is named in every bucket, so no more than needed
     packed = texts.mapInArrow(_sets(n, buckets, parts, heavy), _PACKED)
-    shared = packed.groupBy("slot").applyInArrow(_shared(parts), _PACKED)
-    table = materialize(shared.groupBy("slot").applyInArrow(_prefixes(top, bottom), _PREFIX))
+    # As many tasks as there are blocks to gather, whatever the session's number of shuffle partitions is.
+    shared = packed.repartition(buckets + parts, "slot").groupBy("slot").applyInArrow(_shared(parts), _PACKED)
+    table = materialize(shared.repartition(parts, "slot").groupBy("slot").applyInArrow(_prefixes(top, bottom), _PREFIX))
     del packed, shared
     release(spark)  # the dealt n-grams are the largest thing on disk
 
