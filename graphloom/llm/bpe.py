@@ -24,7 +24,7 @@ from ._common import Kept, pick, worker, worker_cache
 from ._pieces import PieceStore, per_text
 from ._text import Words, byte_class, text_slices
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 CACHE_PARTS = 100_000
 CACHE_PAIRS = 200_000
 #: Between two of these a space doesn't surely begin a piece: ASCII white space and separators.
