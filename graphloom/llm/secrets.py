@@ -34,6 +34,10 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 BARE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENTROPY_BITS = 4.0
 
+#: Values with more than one of so many spans are hot, so there are fewer of them than this: they are
+#: broadcast to their spans, where a join by value would gather all spans of one in a task.
+HOT_VALUES = 1000
+
 SPAN = "struct<kind:string,from:int,to:int,hash:string>"
 
 
@@ -99,7 +103,8 @@ def scan(
     only if ``live``. A null or empty text has no spans; null repositories or owners count as one unnamed
     one each; repeated rows are scanned each and are one repository; other columns play no part. Texts
     are read once: what the corpus aggregation shuffles is hashes, pre-aggregated per value, repository
-    and owner, so a value in a third of all rows is a few partial rows a task."""
+    and owner. The counts of values in a large share of all spans, fewer than ``HOT_VALUES``, are broadcast
+    to their spans; others are joined by value."""
     source = pick(docs, doc_id=id_col, text=text_col, repository=repository_col, owner=owner_col)
     found = materialize(
         source.select("doc_id", "text", F.col("repository").cast("string"), F.col("owner").cast("string"))
@@ -108,9 +113,14 @@ def scan(
     )
     one = found.where(F.size("found") > 0).select("row", "repository", "owner", F.explode("found").alias("s"))
     # No repository is named as an unnamed one, nor is any owner.
-    held = one.select(F.col("s.hash").alias("hash"), *[F.struct(F.col(c).isNull(), F.coalesce(c, F.lit(""))).alias(c) for c in ("repository", "owner")]).distinct()
-    frequency = held.groupBy("hash").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
-    judged = one.select("row", "s", F.col("s.hash").alias("hash")).join(frequency, "hash")
+    held = one.select(F.col("s.hash").alias("hash"), *[F.struct(F.col(c).isNull(), F.coalesce(c, F.lit(""))).alias(c) for c in ("repository", "owner")])
+    held = held.groupBy("hash", "repository", "owner").agg(F.count(F.lit(1)).alias("n"))
+    frequency = materialize(held.groupBy("hash").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"), F.sum("n").alias("n")))
+    total = frequency.agg(F.sum("n").alias("n")).first()["n"] or 0
+    is_hot = F.col("n") * HOT_VALUES > total
+    hot, others = F.broadcast(frequency.where(is_hot).drop("n")), frequency.where(~is_hot).drop("n")
+    named = one.select("row", "s", F.col("s.hash").alias("hash"))
+    judged = named.join(hot, "hash").unionByName(named.join(hot, "hash", "left_anti").join(others, "hash"))
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     kept = judged.where((F.col("s.kind") != "entropy") | live)
     verdict = F.when(live, "live").otherwise("example")
