@@ -108,6 +108,10 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def strings(self, at: list[int]) -> list[str]:
+        raw = memoryview(self.data)
+        return [str(raw[a:b], "utf-8") for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` consecutive words, those that cross texts included."""

@@ -160,7 +160,7 @@ class CachedTokenizer:
         words, tails, others, plan = {}, {}, {}, []
         for p in pieces:
             word = p.rstrip(string.punctuation)
-            if word.isalpha() and max(word) < "Ā":
+            if word.isalpha() and (word.isascii() or max(word) < "Ā"):
                 tail = p[len(word) :]
                 plan.append((words.setdefault(word, len(words)), tails.setdefault(tail, len(tails)) if tail else -1))
             else:
@@ -180,9 +180,11 @@ class CachedTokenizer:
             return np.zeros(0, self.kind), np.zeros(words.texts, np.int64)
 
         def learn(at: list[int]) -> list[bytes | None]:
-            pieces = [words.word(i).decode("utf-8") for i in at]
+            pieces = words.strings(at)
             if self.lowers:  # lower-casing may have made a special string: such texts go as they are
-                odd = [any(x in p for x in self.special) for p in pieces]
+                joined = "\n".join(pieces)
+                special = [x for x in self.special if x in joined]
+                odd = [any(x in p for x in special) for p in pieces] if special else []
                 if any(odd):
                     return [None if o else b"" for o in odd]
             return self._learn(pieces)
