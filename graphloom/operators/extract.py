@@ -23,6 +23,10 @@ from graphloom.terms import SEEDS
 TOKENS = "page_id long, sent_id int, sentence string, i int, text string, lemma string, pos string, dep string, head int, label string, iob string"
 _NAMES = [c.split()[0] for c in TOKENS.split(", ")]
 
+_TOKEN_TYPE = ", ".join(f"{n}: {k}" for n, k in (c.split() for c in TOKENS.split(", ")[3:]))
+#: Of an annotated page: its sentences, each with its tokens by i.
+SENTENCES = f"array<struct<sent_id: int, sentence: string, tokens: array<struct<{_TOKEN_TYPE}>>>>"
+
 #: (sent_id, sentence, i, text, lemma, pos, dep, head, label, iob) per token of a text.
 Annotator = Callable[[str], list[tuple]]
 
@@ -108,22 +112,66 @@ def default_annotator(text: str) -> list[tuple]:
     return out
 
 
-def tokenize(pages: DataFrame, annotator: Annotator = default_annotator, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
-    """The token table of ``pages``, in Arrow batches. Each plan that reads it annotates anew; ``facts``
-    writes it once."""
+#: A worker gives its pages on once it holds so many tokens.
+BATCH_TOKENS = 50_000
+
+
+def annotate(pages: DataFrame, annotator: Annotator = default_annotator, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
+    """A row per page, its other columns and ``sentences`` for the text: of each its tokens in order. Only
+    sentences with a tag or a label are there, as the others can't hold a fact. Each plan that reads it
+    annotates anew; ``facts`` writes what it found once."""
+    rest = [c for c in pages.columns if c not in (id_col, text_col)]
+    given = pages.select(F.col(id_col).cast("long").alias("page_id"), *rest, clean_text(text_col).alias("__text"))
+    return given.mapInArrow(_annotated(annotator, lambda tokens: any(t[9] != "O" or t[8] for t in tokens)), given.drop("__text").withColumn("sentences", F.lit(None).cast(SENTENCES)).schema)
+
 
+def _annotated(annotator: Annotator, keeps: Callable[[list[tuple]], bool]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), *[pa.string()] * 4, pa.int32(), pa.string(), pa.string()]
         for batch in batches:
-            rows = [(i, t[0], t[1] if t[2] == 0 else None, *t[2:]) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in annotator(text or "")]
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), *[pa.string()] * 4, pa.int32(), pa.string(), pa.string()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
+            begin, ends, sents, token_ends, tokens = 0, [0], [], [0], []
+            for row in range(batch.num_rows):
+                of: list[tuple] = []
+                for t in [*annotator(batch.column(batch.num_columns - 1)[row].as_py() or ""), None]:
+                    if of and (t is None or t[0] != of[0][0]):
+                        if keeps(of):
+                            sents.append(of[0][:2])
+                            tokens += [x[2:] for x in of]
+                            token_ends.append(len(tokens))
+                        of = []
+                    if t is not None:
+                        of.append(t)
+                ends.append(len(sents))
+                if len(tokens) >= BATCH_TOKENS or row == batch.num_rows - 1:
+                    columns = list(zip(*tokens, strict=True)) if tokens else [()] * len(kinds)
+                    words = pa.ListArray.from_arrays(pa.array(token_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES[3:]))
+                    each = pa.StructArray.from_arrays([pa.array([s[0] for s in sents], pa.int32()), pa.array([s[1] for s in sents], pa.string()), words], names=["sent_id", "sentence", "tokens"])
+                    part = batch.slice(begin, row + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=[*part.schema.names[:-1], "sentences"])
+                    begin, ends, sents, token_ends, tokens = row + 1, [0], [], [0], []
+
+    return run
 
-    return pages.select(F.col(id_col).cast("long"), clean_text(text_col)).mapInArrow(run, TOKENS)
 
+def tokenize(pages: DataFrame, annotator: Annotator = default_annotator, id_col: str = "page_id", text_col: str = "text") -> DataFrame:
+    """The token table of ``pages``, all sentences of it. Each plan that reads it annotates anew."""
+    given = pages.select(F.col(id_col).cast("long").alias("page_id"), clean_text(text_col).alias("__text"))
+    return flat(given.mapInArrow(_annotated(annotator, lambda tokens: True), f"page_id long, sentences {SENTENCES}"))
+
+
+def flat(pages: DataFrame) -> DataFrame:
+    """The token table of annotated pages."""
+    each = pages.select("page_id", F.inline_outer("sentences")).select("page_id", "sent_id", "sentence", F.inline_outer("tokens")).where("i is not null")
+    return each.withColumn("sentence", F.when(F.col("i") == 0, F.col("sentence"))).select(*_NAMES)
 
-def sentences(tokens: DataFrame) -> DataFrame:
-    return tokens.where("i = 0").select("page_id", "sent_id", "sentence")
+
+def nested(tokens: DataFrame) -> DataFrame:
+    """Annotated pages, a row per sentence, of a token table; what is nested already stays as it is."""
+    if "sentences" in tokens.columns:
+        return tokens
+    held = F.array_sort(F.collect_list(F.struct(*_NAMES[3:]))).alias("tokens")
+    by = tokens.groupBy("page_id", "sent_id").agg(F.max(F.when(F.col("i") == 0, F.col("sentence"))).alias("sentence"), held)
+    return by.select("page_id", F.array(F.struct("sent_id", "sentence", "tokens")).alias("sentences"))
 
 
 def spans(tokens: DataFrame, legacy: bool = False) -> DataFrame:
@@ -140,72 +188,149 @@ def spans(tokens: DataFrame, legacy: bool = False) -> DataFrame:
     return inside.withColumn("span", text).withColumn("first", F.min("i").over(whole))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _spans(tokens: Column, legacy: bool = False) -> Column:
+    """The entity spans of a sentence's tokens, as in ``spans``. A span begins at a tag that goes on from
+    none and ends where no I follows, so beginnings and ends pair up."""
+    at = lambda keeps: F.filter(F.transform(tokens, lambda t, k: F.when((t["iob"] != "O") & keeps(t, k), k)), lambda k: k.isNotNull())
+    begin = at(lambda t, k: (t["iob"] != "I") | (k == 0) | (F.get(tokens, k - 1)["iob"] == "O"))
+    end = at(lambda t, k: F.coalesce(F.get(tokens, k + 1)["iob"] != "I", F.lit(True)))
+    text = lambda of: F.array_join(F.transform(of, lambda t: t["text"]), " ")
+    whole = lambda of: F.struct(of[0]["i"].alias("first"), F.element_at(of, -1)["i"].alias("last"), of[0]["label"].alias("label"), text(of).alias("text"), *([text(F.filter(of, lambda t: t["iob"] == "I")).alias("inner")] if legacy else []))
+    return F.zip_with(begin, end, lambda a, b: _let(F.slice(tokens, a + 1, b - a + 1), whole))
+
+
+def _mentions(spans: Column, sent: Column) -> Column:
+    """Kind 1: the valid mentions of a sentence."""
+    kept = F.filter(spans, lambda s: is_target_label(s["label"]) & is_valid_entity(s["text"], s["label"]))
+    return F.transform(kept, lambda s: _found(1, sent, s["first"], s["first"], s["text"], s["label"], F.lit("mentionedIn"), F.lit(None).cast("string"), F.lit("Article")))
+
+
+def _found(kind: int, sent: Column, i: Column, object_i: Column, subject: Column, subject_label: Column, predicate: Column, object_: Column, object_label: Column) -> Column:
+    columns = {"kind": F.lit(kind), "sent_id": sent["sent_id"], "i": i, "object_i": object_i, "subject": subject, "subject_label": subject_label, "predicate": predicate, "object": object_, "object_label": object_label, "sentence": sent["sentence"]}
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+
+def _links(tokens: Column, spans: Column, sent: Column, legacy: bool) -> Column:
+    """Kind 0: subject-verb-object and subject-verb-preposition-object of a sentence."""
+    def text(t: Column) -> Column:
+        whole = F.get(F.filter(spans, lambda s: (s["first"] <= t["i"]) & (t["i"] <= s["last"])), F.lit(0))
+        return F.when(t["iob"] == "O", t["text"]).otherwise(_let(whole, lambda s: F.when(t["iob"] == "I", s["inner"]).otherwise(s["text"])) if legacy else whole["text"])
+
+    def ends(found: Column) -> Column:
+        named = F.transform(found, lambda t: F.struct(t["i"].alias("i"), t["head"].alias("head"), text(t).alias("text"), t["label"].alias("label")))
+        return F.filter(named, lambda t: is_useful_endpoint(t["text"]))
+
+    fact = lambda s, predicate, o: _found(0, sent, s["i"], o["i"], s["text"], s["label"], predicate, o["text"], o["label"])
+
+    def of_verb(verb: Column) -> Column:
+        return _let(F.filter(tokens, lambda t: t["head"] == verb["i"]), lambda arms: _let(objects(verb, arms), lambda known: F.when(F.size(known) > 0, pairs(arms, known))))
+
+    def objects(verb: Column, arms: Column) -> Column:
+        direct = F.filter(arms, lambda t: t["dep"].isin("dobj", "attr", "oprd") & (t["label"] != ""))
+        through = lambda p, named: F.transform(F.filter(named, lambda o: o["head"] == p["i"]), lambda o: F.struct(verb_label(verb["lemma"], p["text"]).alias("predicate"), o.alias("o")))
+        named = ends(F.filter(tokens, lambda t: (t["dep"] == "pobj") & (t["label"] != "")))
+        indirect = _let(named, lambda x: F.flatten(F.transform(F.filter(arms, lambda t: t["dep"] == "prep"), lambda p: through(p, x))))
+        return F.concat(F.transform(ends(direct), lambda o: F.struct(verb_label(verb["lemma"]).alias("predicate"), o.alias("o"))), indirect)
+
+    def pairs(arms: Column, known: Column) -> Column:
+        subjects = ends(F.filter(arms, lambda t: t["dep"].isin("nsubj", "nsubjpass") & (t["label"] != "")))
+        return F.flatten(F.transform(subjects, lambda s: F.transform(known, lambda x: fact(s, x["predicate"], x["o"]))))
+
+    roots = F.filter(tokens, lambda t: (t["dep"] == "ROOT") & (t["pos"] == "VERB") & is_predicate_verb(t["lemma"]))
+    return F.flatten(F.filter(F.transform(F.slice(roots, 1, 1), of_verb), lambda x: x.isNotNull()))
+
+
+def found(relations: bool = True, mentions: bool = True, legacy: bool = False) -> Column:
+    """What the sentences of an annotated page hold, repeats with it: kind (0: relation, 1: mention),
+    place, subject, predicate and object; a mention's object, the page's title, is null here. It is to be
+    taken apart by ``inline_outer``: for ``inline`` a filter is inferred that works it all out again."""
+
+    def of(sent: Column) -> Column:
+        both = lambda spans: [*([_links(sent["tokens"], spans, sent, legacy)] if relations else []), *([_mentions(spans, sent)] if mentions else [])]
+        return _let(_spans(sent["tokens"], legacy), lambda spans: F.concat(*both(spans)))
+
+    return F.flatten(F.transform("sentences", of))
+
+
 def entities(tokens: DataFrame) -> DataFrame:
     """(page_id, text, label, sentence, sent_id, i): valid mentions of the kept labels, the first of each
-    (text, label) on a page."""
-    found = spans(tokens).where("i = first").select("page_id", F.col("span").alias("text"), "label", "sent_id", "i")
-    kept = found.where(is_target_label("label") & is_valid_entity("text", "label"))
-    first = first_of(kept, ["page_id", "text", "label"], ["sent_id", "i"])
-    return first.join(sentences(tokens), ["page_id", "sent_id"], "left").select("page_id", "text", "label", "sentence", "sent_id", "i")
+    (text, label) on a page. ``tokens``: a token table or annotated pages."""
+    rows = nested(tokens).select("page_id", F.inline_outer(found(relations=False))).where("kind is not null")
+    rows = rows.select("page_id", F.col("subject").alias("text"), F.col("subject_label").alias("label"), "sentence", "sent_id", "i")
+    return first_of(rows, ["page_id", "text", "label"], ["sent_id", "i"])
 
 
 def relations(tokens: DataFrame, legacy_span: bool = False) -> DataFrame:
     """Subject-verb-object and subject-verb-preposition-object facts whose ends are both entities, the first
     of each on a page. ``legacy_span`` as in ``spans``."""
-    whole = spans(tokens, legacy_span).select("page_id", "sent_id", "i", "span")
-    t = tokens.drop("sentence").join(whole, ["page_id", "sent_id", "i"], "left").withColumn("span", F.coalesce("span", "text"))
-    key = ["page_id", "sent_id"]
-    roots = t.where((F.col("dep") == "ROOT") & (F.col("pos") == "VERB") & is_predicate_verb("lemma"))
-    first = Window.partitionBy(*key).orderBy("i")
-    roots = roots.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*key, F.col("i").alias("verb"), "lemma")
-    arm = lambda deps, name, at: t.where(F.col("dep").isin(*deps)).select(*key, F.col("head").alias(at), F.col("i").alias(f"{name}_i"), F.col("span").alias(name), F.col("label").alias(f"{name}_label"))
-    subjects = arm(("nsubj", "nsubjpass"), "subject", "verb")
-    direct = arm(("dobj", "attr", "oprd"), "object", "verb")
-    prepositions = t.where("dep = 'prep'").select(*key, F.col("head").alias("verb"), F.col("i").alias("prep_i"), F.col("text").alias("prep"))
-    through = arm(("pobj",), "object", "prep_i")
-    svo = roots.join(subjects, [*key, "verb"]).join(direct, [*key, "verb"]).withColumn("predicate", verb_label("lemma"))
-    svpo = roots.join(subjects, [*key, "verb"]).join(prepositions, [*key, "verb"]).join(through, [*key, "prep_i"]).withColumn("predicate", verb_label("lemma", "prep"))
-    columns = ["page_id", "subject", "subject_label", "predicate", "object", "object_label", "sent_id", "subject_i", "object_i"]
-    both = svo.select(*columns).unionByName(svpo.select(*columns))
-    kept = both.where("subject_label <> '' and object_label <> ''").where(is_useful_endpoint("subject") & is_useful_endpoint("object"))
-    first = first_of(kept, ["page_id", "subject", "predicate", "object"], ["sent_id", "subject_i", "object_i"])
-    return first.join(sentences(tokens), key, "left").select("page_id", "subject", "subject_label", "predicate", "object", "object_label", "sentence", "sent_id", "subject_i", "object_i")
+    rows = nested(tokens).select("page_id", F.inline_outer(found(mentions=False, legacy=legacy_span))).where("kind is not null").withColumnRenamed("i", "subject_i")
+    rows = rows.select("page_id", "subject", "subject_label", "predicate", "object", "object_label", "sentence", "sent_id", "subject_i", "object_i")
+    return first_of(rows, ["page_id", "subject", "predicate", "object"], ["sent_id", "subject_i", "object_i"])
 
 
 def first_of(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the order given. One aggregation with partial results: no window sorts
     a hot key's rows."""
-    rest = [c for c in rows.columns if c not in by]
-    chosen = rows.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("r"))
+    rest = [*order, *[c for c in rows.columns if c not in by and c not in order]]
+    chosen = rows.groupBy(*by).agg(F.min(F.struct(*rest)).alias("r"))
     return chosen.select(*[F.col(c) if c in by else F.col(f"r.{c}").alias(c) for c in rows.columns])
 
 
 def facts(pages: DataFrame, annotator: Annotator = default_annotator, id_col: str = "page_id", counters: Observation | None = None) -> DataFrame:
     """The fact table of pages (``page_id, url, title, text``): relations of all pages before mentions, the
     first of each (subject, predicate, object). ``counters`` observes the rows before that choice. Texts are
-    annotated once: the tokens are a table in the shared folder."""
-    return fact_rows(cut(tokenize(pages, annotator, id_col)), pages, id_col, counters)
-
-
-def fact_rows(tokens: DataFrame, pages: DataFrame, id_col: str = "page_id", counters: Observation | None = None) -> DataFrame:
-    """``facts`` from a token table that is there already."""
-    sources = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", F.coalesce("title", "url").alias("title"))
-    short: Callable[[str], Column] = lambda c: F.substring(c, 1, 300)
-    rel = relations(tokens).join(sources, "page_id").select(
-        F.lit(0).alias("kind"), "page_id", "sent_id", F.col("subject_i").alias("i"), "subject", "subject_label", "predicate", "object", "object_label", F.col("url").alias("source_url"), short("sentence").alias("sentence"), F.lit("relation").alias("extraction_type")
-    )
-    ner = entities(tokens).join(sources, "page_id").select(
-        F.lit(1).alias("kind"), "page_id", "sent_id", "i", F.col("text").alias("subject"), F.col("label").alias("subject_label"), F.lit("mentionedIn").alias("predicate"), F.col("title").alias("object"), F.lit("Article").alias("object_label"),
-        F.col("url").alias("source_url"), short("sentence").alias("sentence"), F.lit("ner").alias("extraction_type"),
-    )
-    clean = rel.unionByName(ner)
+    annotated once: what they hold is a table in the shared folder."""
+    given = pages.select(F.col(id_col).alias("page_id"), "url", "title", "text")
+    return fact_rows(cut(annotate(given, annotator)), counters)
+
+
+def fact_rows(pages: DataFrame, counters: Observation | None = None) -> DataFrame:
+    """``facts`` of annotated pages (``page_id, url, title, sentences``)."""
+    title = F.coalesce("title", "url").alias("title")
+    pages = _whole(pages).select("page_id", "url", title, "__first", found().alias("__found"))
     if counters is not None:
-        clean = clean.observe(counters, F.count_if(F.col("kind") == 0).alias("relations"), F.count_if(F.col("kind") == 1).alias("mentions"))
+        pages = _observed(pages, counters)
+    rows = pages.select("page_id", "url", "title", F.inline_outer("__found")).where("kind is not null")
+    rows = rows.withColumn("object", F.when(F.col("kind") == 1, F.col("title")).otherwise(F.col("object")))
     for c in ("subject", "predicate", "object"):
-        clean = clean.withColumn(c, strip(c))
-    return first_of(clean, ["subject", "predicate", "object"], ["kind", "page_id", "sent_id", "i"]).select(
-        "subject", "subject_label", "predicate", "object", "object_label", "source_url", "sentence", "extraction_type"
-    )
+        rows = rows.withColumn(c, strip(c))
+    rows = rows.select("subject", "predicate", "object", "kind", "page_id", "sent_id", "i", "object_i", "subject_label", "object_label", F.col("url").alias("source_url"), F.substring("sentence", 1, 300).alias("sentence"))
+    chosen = first_of(rows, ["subject", "predicate", "object"], ["kind", "page_id", "sent_id", "i", "object_i"])
+    return chosen.select("subject", "subject_label", "predicate", "object", "object_label", "source_url", "sentence", F.when(F.col("kind") == 0, "relation").otherwise("ner").alias("extraction_type"))
+
+
+def count_found(pages: DataFrame, counters: Observation) -> DataFrame:
+    """Annotated pages, of which ``counters`` observes what ``fact_rows`` lets it, without the facts."""
+    return _observed(_whole(pages).select("page_id", "__first", found().alias("__found")), counters).select("page_id")
+
+
+def _observed(pages: DataFrame, counters: Observation) -> DataFrame:
+    """Relations by subject, predicate and object and mentions by text and label, each once a page."""
+
+    def once(kind: int, *parts: str) -> Column:
+        key = lambda x: F.concat(*[F.concat(F.length(x[p]).cast("string"), F.lit(":"), x[p]) for p in parts])
+        return F.sum(F.when(F.col("__first"), F.size(F.array_distinct(F.transform(F.filter("__found", lambda x: x["kind"] == kind), key)))).otherwise(0))
+
+    return pages.observe(counters, F.coalesce(once(0, "subject", "predicate", "object"), F.lit(0)).alias("relations"), F.coalesce(once(1, "subject", "subject_label"), F.lit(0)).alias("mentions"))
+
+
+def _whole(pages: DataFrame) -> DataFrame:
+    """Annotated pages with all sentences of their id: if ids are in several rows, each of these has the
+    sentences of all. ``__first`` is true in one row of an id."""
+    pages = pages.withColumn("__first", F.lit(True))
+    repeated = pages.groupBy("page_id").count().where("count > 1").select("page_id")
+    if repeated.isEmpty():
+        return pages
+    at = F.row_number().over(Window.partitionBy("page_id").orderBy("url", "title")) == 1
+    several = pages.join(repeated, "page_id", "left_semi")
+    held = several.groupBy("page_id").agg(F.flatten(F.collect_list("sentences")).alias("sentences"))
+    rows = several.select("page_id", "url", "title", at.alias("__first")).join(held, "page_id")
+    return pages.join(repeated, "page_id", "left_anti").select(*rows.columns).unionByName(rows)
 
 
 # --- pages ---

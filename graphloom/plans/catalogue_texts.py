@@ -6,7 +6,7 @@ and a place of two words."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
@@ -23,14 +23,22 @@ R, O = RESOURCE, ONTOLOGY
 _SHAPE = (("PERSON", "B", "compound", 1), ("PERSON", "I", "nsubj", 2), ("", "O", "ROOT", 2), ("ORG", "B", "dobj", 2), ("", "O", "prep", 2), ("GPE", "B", "pobj", 4), ("GPE", "I", "dep", 5), ("", "O", "dep", 2))
 
 
+def _annotated(spark, d) -> DataFrame:
+    """The documents as annotated pages: ``page_id, url, title, sentences``."""
+    at = lambda part, i: F.get(F.array(*[F.lit(x[part]) for x in _SHAPE]), i)
+    words = read(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.regexp_extract_all("text", F.lit(W), 0).alias("words"))
+
+    def token(w: Column, i: Column) -> Column:
+        parts = {"i": i, "text": w, "lemma": F.lower(w), "pos": F.when(i == 2, "VERB").otherwise("X"), "dep": at(2, i), "head": at(3, i), "label": at(0, i), "iob": at(1, i)}
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    sentence = lambda k: F.struct(k.alias("sent_id"), F.concat(F.lit("s"), k.cast("string")).alias("sentence"), F.transform(F.slice("words", k * 8 + 1, 8), token).alias("tokens"))
+    count = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 8).cast("int")))
+    return words.select("page_id", "url", "title", F.transform(count, sentence).alias("sentences"))
+
+
 def _tokens(spark, d) -> DataFrame:
-    at = lambda part: F.element_at(F.array(*[F.lit(x[part]) for x in _SHAPE]), F.col("i") + 1)
-    words = read(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.regexp_extract_all("text", F.lit(W), 0)).alias("pos", "text"))
-    placed = words.select("page_id", F.floor(F.col("pos") / 8).cast("int").alias("sent_id"), (F.col("pos") % 8).cast("int").alias("i"), "text")
-    return placed.select(
-        "page_id", "sent_id", F.when(F.col("i") == 0, F.concat(F.lit("s"), F.col("sent_id").cast("string"))).alias("sentence"), "i", "text", F.lower("text").alias("lemma"), F.when(F.col("i") == 2, "VERB").otherwise("X").alias("pos"),
-        at(2).alias("dep"), at(3).alias("head"), at(0).alias("label"), at(1).alias("iob"),
-    )
+    return extract.flat(_annotated(spark, d))
 
 
 _S = f"(SELECT doc_id AS page_id, i::INT AS sent_id, words[i * 8 + 1 : i * 8 + 8] AS w FROM (SELECT doc_id, words, unnest(range(0, (len(words) + 7) // 8)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{W}') AS words FROM documents)))"
@@ -49,12 +57,12 @@ _ENTITIES = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id,
 
 @query(f"SELECT page_id, subject, 'PERSON' AS subject_label, predicate, object, object_label, 's' || sent_id::VARCHAR AS sentence, sent_id FROM {_RELATIONS}")
 def relations_of_tokens(spark, d):
-    return extract.relations(_tokens(spark, d)).select("page_id", "subject", "subject_label", "predicate", "object", "object_label", "sentence", "sent_id")
+    return extract.relations(_annotated(spark, d)).select("page_id", "subject", "subject_label", "predicate", "object", "object_label", "sentence", "sent_id")
 
 
 @query(f"SELECT page_id, text, label, 's' || sent_id::VARCHAR AS sentence, sent_id, i::INT AS i FROM {_ENTITIES}")
 def entities_of_tokens(spark, d):
-    return extract.entities(_tokens(spark, d))
+    return extract.entities(_annotated(spark, d))
 
 
 @query(f"SELECT label, count(*) AS n, count(DISTINCT span) AS spans, sum(length(span))::BIGINT AS chars FROM (SELECT label, text AS span FROM {_FOUND}) GROUP BY 1")
@@ -77,18 +85,14 @@ _FACTS = f"""(SELECT 0 AS kind, page_id, sent_id, 1 AS i, subject, predicate, ob
 @query(f"SELECT subject, predicate, object, extraction_type, 'u' || page_id::VARCHAR AS source_url, 's' || sent_id::VARCHAR AS sentence FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY kind, page_id, sent_id, i) AS n FROM {_FACTS}) WHERE n = 1")
 def facts_of_tokens(spark, d):
     """Relations of all pages, then mentions, each fact once."""
-    return extract.fact_rows(_tokens(spark, d), _pages(spark, d)).select("subject", "predicate", "object", "extraction_type", "source_url", "sentence")
-
-
-def _pages(spark, d) -> DataFrame:
-    return read(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"))
+    return extract.fact_rows(_annotated(spark, d)).select("subject", "predicate", "object", "extraction_type", "source_url", "sentence")
 
 
 @query(f"SELECT (SELECT count(*) FROM {_RELATIONS}) AS relations, (SELECT count(*) FROM {_ENTITIES}) AS mentions")
 def extraction_counters(spark, d):
     """The counters that a run observes, before facts are chosen."""
     seen = Observation()
-    extract.fact_rows(_tokens(spark, d), _pages(spark, d), counters=seen).write.format("noop").mode("overwrite").save()
+    extract.count_found(_annotated(spark, d), seen).write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([(seen.get["relations"], seen.get["mentions"])], "relations long, mentions long")
 
 

@@ -200,3 +200,17 @@ def test_fetching_tries_again_and_reports(spark):
     urls = remote.search_addresses(spark.createDataFrame([("Apollo 11",)], "label string"), "http://s").first()["url"]
     assert urls.endswith("limit=5&search=Apollo+11")
     assert "wd%3AQ1+%3Fprop" in remote.neighbour_addresses(spark.createDataFrame([("Q1",)], "qid string"), "http://s").first()["url"]
+
+
+def test_found_facts_are_counted_without_a_shuffle(spark):
+    from pyspark.sql import Observation
+
+    said = "Later Neil Armstrong commanded Apollo 11. Later Neil Armstrong commanded Apollo 11."
+    pages = spark.createDataFrame([(i, "u", "A", said) for i in (1, 2, 2)], "page_id long, url string, title string, text string")
+    once, twice = Observation(), Observation()
+    counted = extract.count_found(extract.annotate(pages.where("page_id = 1")), once)
+    counted.collect()
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    assert once.get == {"relations": 1, "mentions": 2}
+    extract.count_found(extract.annotate(pages), twice).collect()
+    assert twice.get == {"relations": 2, "mentions": 4}  # a page that is there twice counts once
