@@ -214,3 +214,23 @@ def test_found_facts_are_counted_without_a_shuffle(spark):
     assert once.get == {"relations": 1, "mentions": 2}
     extract.count_found(extract.annotate(pages), twice).collect()
     assert twice.get == {"relations": 2, "mentions": 4}  # a page that is there twice counts once
+
+
+def test_nearest_equals_all_pairs_of_odd_vectors(spark):
+    from pyspark.sql import Window
+
+    from graphloom.functions.text import cosine
+
+    rng = np.random.default_rng(3)
+    rows = [[float(x) for x in rng.normal(size=6).astype("float32")] for _ in range(300)]
+    rows += [rows[7]] * 40 + [[2 * x for x in rows[8]]] * 9 + [None, [0.0] * 6, [0.0] * 6, [1.0] * 5, [], [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("nan")] + [1.0] * 5, [float("inf")] + [1.0] * 5, [1e-170] * 6, [1e200] * 6]
+    df = spark.createDataFrame([(i * 7 % len(rows), x) for i, x in enumerate(rows)], "id long, vector array<double>").repartition(3)
+    n = len(rows)
+    pairs = df.toDF("query", "q").crossJoin(df.toDF("neighbour", "v")).where("query <> neighbour").withColumn("similarity", cosine("q", "v"))
+    for k in (4, n):
+        kept = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
+        wanted = pairs.withColumn("rank", F.row_number().over(kept)).where(F.col("rank") <= k).select("query", "neighbour", "rank", "similarity")
+        key = lambda frame: sorted(tuple(map(str, r)) for r in frame.collect())
+        assert key(vectors.nearest(df, df, k)) == key(wanted)
+    names = df.withColumn("id", F.col("id").cast("string"))
+    assert vectors.nearest(names, names.where("id < '2'"), 3).count() == 3 * names.where("id < '2'").count()
