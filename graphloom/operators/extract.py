@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -34,6 +35,7 @@ _MONTH = "January|February|March|April|May|June|July|August|September|October|No
 _DATE = re.compile(rf"\b(?:\d{{1,2}} (?:{_MONTH}) \d{{4}}|(?:{_MONTH}) \d{{1,2}}, \d{{4}}|(?:{_MONTH}) \d{{4}}|[12]\d{{3}})\b")
 _SENTENCE = re.compile(r"[^.!?]+(?:[.!?](?!\s|$)[^.!?]*)*[.!?]?")
 _TOKEN = re.compile(r"\w+(?:[.'’-]\w+)*|[^\w\s]")
+_DIGIT = re.compile(r"\d")
 _PREPOSITIONS = frozenset("in on at by to from of with for into onto during under over near".split())
 _IRREGULAR = {"flew": "fly", "was": "be", "were": "be", "is": "be", "are": "be", "built": "build", "led": "lead", "left": "leave", "began": "begin", "became": "become", "had": "have", "has": "have"}
 _LABEL_HINTS = (
@@ -66,12 +68,23 @@ def _lemma(word: str) -> str:
     return low
 
 
-def default_annotator(text: str) -> list[tuple]:
+def _nameless(sentence: str) -> bool:
+    """Whether a sentence surely holds neither name nor date: no capital but its first letter and no digit."""
+    if not sentence[1:].islower() or _DIGIT.search(sentence):
+        return False
+    first, second = ([t[0] for t, _ in zip(_TOKEN.finditer(sentence), range(2))] + ["", ""])[:2]
+    return first.lower() not in SEEDS and not second.isdigit() and not (first.isupper() and len(first) > 1)
+
+
+def default_annotator(text: str, whole: bool = True) -> list[tuple]:
     """Tokens by rule: per sentence one root verb (the first finite-looking one after a name), the name
-    before it as subject, the name right after it as object, names after later prepositions."""
+    before it as subject, the name right after it as object, names after later prepositions. ``whole``:
+    also of sentences that hold no name."""
     out = []
     for sent_id, m in enumerate(s for s in _SENTENCE.finditer(text) if s[0].strip()):
         sentence = m[0].strip()
+        if not whole and _nameless(sentence):
+            continue
         words = [(t.start(), t.end(), t[0]) for t in _TOKEN.finditer(sentence)]
         label, iob = [""] * len(words), ["O"] * len(words)
         for d in _DATE.finditer(sentence):
@@ -122,6 +135,7 @@ def annotate(pages: DataFrame, annotator: Annotator = default_annotator, id_col:
     annotates anew; ``facts`` writes what it found once."""
     rest = [c for c in pages.columns if c not in (id_col, text_col)]
     given = pages.select(F.col(id_col).cast("long").alias("page_id"), *rest, clean_text(text_col).alias("__text"))
+    annotator = partial(default_annotator, whole=False) if annotator is default_annotator else annotator
     return given.mapInArrow(_annotated(annotator, lambda tokens: any(t[9] != "O" or t[8] for t in tokens)), given.drop("__text").withColumn("sentences", F.lit(None).cast(SENTENCES)).schema)
 
 

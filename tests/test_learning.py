@@ -234,3 +234,20 @@ def test_nearest_equals_all_pairs_of_odd_vectors(spark):
         assert key(vectors.nearest(df, df, k)) == key(wanted)
     names = df.withColumn("id", F.col("id").cast("string"))
     assert vectors.nearest(names, names.where("id < '2'"), 3).count() == 3 * names.where("id < '2'").count()
+
+
+def test_only_sentences_with_names_are_annotated(spark):
+    said = ["It ended. Nasa won.", "A_ one. A one. \u00b2 two.", "Moon \u00b2 rose.", "Mars landed. mars landed.", "in 1999 it ended. So Neil Armstrong left. \U0001d400bc said.", "So \U0001d400bc said. \u00c9t\u00e9 was.", "NASA was. no. Was no. Apollo 11 landed in Houston.", ""]
+    named = lambda tokens: [t for t in tokens if any(x[9] != "O" or x[8] for x in tokens if x[0] == t[0])]
+    for text in said:
+        assert named(extract.default_annotator(text, whole=False)) == named(extract.default_annotator(text))
+    assert extract.default_annotator("It was so. It ended.", whole=False) == []
+
+
+def test_annotated_pages_are_given_on_in_parts(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["So Neil Armstrong left. " * 1000] * 40)], names=["page_id", "__text"])
+    parts = list(extract._annotated(extract.default_annotator, lambda tokens: True)(iter([batch])))
+    assert len(parts) >= 4 and [x for p in parts for x in p.column(0).to_pylist()] == list(range(40))
+    assert {len(x) for p in parts for x in p.column(1).to_pylist()} == {1000}
