@@ -251,3 +251,15 @@ def test_annotated_pages_are_given_on_in_parts(spark):
     parts = list(extract._annotated(extract.default_annotator, lambda tokens: True)(iter([batch])))
     assert len(parts) >= 4 and [x for p in parts for x in p.column(0).to_pylist()] == list(range(40))
     assert {len(x) for p in parts for x in p.column(1).to_pylist()} == {1000}
+
+
+def test_packed_choice_equals_the_plain_one(spark):
+    rows = spark.range(4_000, numPartitions=3).selectExpr("nullif(concat('s', id % 70), 's3') as s", "concat('p', id % 11) as p", "cast(id % 2 as int) as kind", "nullif(id * 37 % 101, 5) as page", "concat('x', id % 5) as said")
+    before, extract.PACKED_ROWS = extract.PACKED_ROWS, 300
+    try:
+        got = extract.first_of_packed(rows, ["s", "p"], ["kind", "page"])
+        key = lambda df: sorted(tuple(map(str, r)) for r in df.select("s", "p", "kind", "page", "said").collect())
+        assert key(got) == key(extract.first_of(rows, ["s", "p"], ["kind", "page"]))
+        assert extract.first_of_packed(rows.where("false"), ["s", "p"], ["kind", "page"]).count() == 0
+    finally:
+        extract.PACKED_ROWS = before
