@@ -325,7 +325,7 @@ def first_of_packed(rows: DataFrame, by: list[str], order: list[str]) -> DataFra
             block = table["__block"].to_numpy()
             place = np.argsort(block, kind="stable")
             table, ends = table.select(schema.names).take(place).cast(schema).combine_chunks(), np.flatnonzero(np.diff(block[place], append=-1)) + 1
-            options, begin, out = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3)), 0, []
+            options, begin, out = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 12)), 0, []
             for end in ends.tolist():
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, schema, options=options) as writer:
